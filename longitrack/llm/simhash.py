@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from longitrack.llm.common import written
+from longitrack.llm.common import short_batches, written
 from longitrack.llm.components import connected_components
 from longitrack.session import ship
 
@@ -51,12 +51,20 @@ def fingerprint(raw: bytes | None, n: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(bits)).tobytes(), "big")
 
 
-@F.arrow_udf(T.LongType())
-def _fingerprints(texts: pa.Array) -> pa.Array:
+def _of_texts(texts: pa.Array) -> pa.Array:
     values = np.array([fingerprint(x.as_py()) for x in texts.cast(pa.binary())], np.uint64)
     return pa.array(values.view(np.int64))
 
 
+_fingerprints = F.arrow_udf(_of_texts, T.LongType())
+
+
+def _of_batches(batches):
+    """(id, text) batches to (id, fp): texts go to Python and nothing waits for them in the JVM."""
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), _of_texts(b.column(1))], names=["id", "fp"])
+
+
 def with_fingerprints(docs: DataFrame, text: str = "text", column: str = "fp") -> DataFrame:
     """docs with its fingerprints as longs; null and empty texts have 0. Replaces a column of that name."""
     ship(docs.sparkSession)
@@ -114,7 +122,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     rows stay repeated. A row with a null id keeps its fingerprint and its component, whose id is the
     least that is not null; a component of null ids alone has a null id. Other columns are not read.
     """
-    rows = written(with_fingerprints(docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("t")), "t").select("id", "fp"), "fingerprints")
+    ship(docs.sparkSession)
+    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("t"))
+    with short_batches(docs.sparkSession):
+        rows = written(texts.mapInArrow(_of_batches, "id long, fp long"), "fingerprints")
     reps = rows.groupBy("fp").agg(F.min("id").alias("least"))
     parts = connected_components(written(links(reps.select("fp"), pairs_up_to), "links"))
     # components are named by a fingerprint; the least id in each is theirs
