@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longitrack.llm import quality, secrets, simhash
-from longitrack.llm.common import table
+from longitrack.llm import decontaminate, mixing, pii, quality, secrets, simhash, urls, warc
+from longitrack.llm.common import new_path, table
+
+
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,17 +30,55 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.archive_pages(table(spark, sf_dir, "pages"), path)
+    page = lambda c: F.regexp_extract(c, "^urn:page:([^:]*):", 1).try_cast("long")
+    return warc.read_archives(spark, path, payloads=False).select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     got = F.col("secrets")
     return found.select("doc_id", *(got[n].alias(n) for n in ("n_assign", "n_access", "n_hex")), F.sha2(got["base"], 256).alias("base_sha256"), got["spans"].alias("spans"))
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_quality": op3_quality, "op7_secrets": op7_secrets}
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.found(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *(f"n_{k}" for k in pii.KINDS), F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_simhash": op2_simhash,
+    "op3_quality": op3_quality,
+    "op4_warc": op4_warc,
+    "op6_mixing": op6_mixing,
+    "op7_secrets": op7_secrets,
+    "op9_urls": op9_urls,
+    "op10_pii": op10_pii,
+}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
 ORACLES = {
+    "op1_decontaminate": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{_WORD}') AS w FROM documents),
+b AS (SELECT item_id, w, least(len(w), 5) AS k FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '{_WORD}') AS w FROM benchmark) WHERE len(w) > 0),
+bs AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM b, unnest(range(1, len(w) - k + 2)) AS r(i)),
+n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY 1),
+ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + k - 1], ' ') AS s FROM d, (SELECT DISTINCT k FROM b) AS ks, unnest(range(1, len(w) - k + 2)) AS r(i)),
+m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (s) GROUP BY ALL)
+SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment FROM m JOIN n USING (item_id) WHERE n_shared >= ceil(0.8 * n_item - 1e-9)
+""",
     "op3_quality": rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents
@@ -60,5 +102,16 @@ WITH d AS (
     + CASE WHEN 100 * n_upper > 30 * word_chars THEN 64 ELSE 0 END)::BIGINT AS failures FROM m
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & 3) <> 0 AS base_failed, failures = 0 AS kept, failures FROM j
+""",
+    "op4_warc": """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), q AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(h, 5 * (i // 4)::BIGINT + 1, 5))::BIGINT >> (15 - 5 * (i % 4))::BIGINT) & 31)::BIGINT + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM q
 """,
 }
