@@ -23,7 +23,7 @@ ROUNDS = 12
 SEED = 42
 #: Weights of the sources in order, repeating.
 WEIGHTS = (1.0, 2.0, 3.0)
-_CHUNK = 4096
+_CHUNK = 1024
 
 
 def counted(docs: DataFrame, id_column: str, source: str, text: str) -> DataFrame:
@@ -78,8 +78,9 @@ def slots(goals: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS,
     g = g.withColumn("n", F.col("passes") * F.col("blocks") + F.expr(f"rest DIV {block}") + F.when(F.col("cut") > 0, 1).otherwise(0)).where("n > 0")
     total = g.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total // shard_slots))
+    tasks = min(10_000, max(1, -(-total // (4 * _CHUNK))))
     # a source's slots are made by many tasks: first its chunks, dealt out, then the slots of each
-    chunks = g.withColumn("chunk", F.explode(F.expr(f"sequence(0, (n - 1) DIV {_CHUNK})"))).repartition("no", "chunk")
+    chunks = g.withColumn("chunk", F.explode(F.expr(f"sequence(0, (n - 1) DIV {_CHUNK})"))).repartition(tasks, "no", "chunk")
     each = chunks.withColumn("slot", F.explode(F.expr(f"sequence(chunk * {_CHUNK}, least(n, (chunk + 1) * {_CHUNK}) - 1)")))
     key = F.xxhash64(F.lit(seed), "no", F.expr("slot DIV blocks"))
     return each.select(
@@ -117,5 +118,6 @@ def mix(docs: DataFrame, id_column: str = "doc_id", source: str = "source", text
     first = F.greatest(F.col("at") - F.col("block") * block, F.lit(0))
     last = F.least(F.col("at") + F.col("size") - F.col("block") * block, F.col("words"))
     got = F.coalesce(F.greatest(last - first, F.lit(0)) * F.col("times"), F.lit(0))
-    joined = pieces.join(taken, ["no", "block"], "left")
+    # its size follows the mix, whatever the planner makes of the few rows that its slots come from
+    joined = pieces.join(taken.hint("merge"), ["no", "block"], "left")
     return joined.groupBy("no", "doc", "size", "copy", "source_size", "target").agg(F.sum(got).alias("taken")).select(F.col("doc").alias(id_column), "size", "source_size", "target", "taken")

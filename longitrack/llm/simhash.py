@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from longitrack.llm.common import short_batches, written
+from longitrack.llm.common import short_batches, small, written
 from longitrack.llm.components import connected_components
 from longitrack.session import ship
 
@@ -60,9 +60,9 @@ _fingerprints = F.arrow_udf(_of_texts, T.LongType())
 
 
 def _of_batches(batches):
-    """(id, text) batches to (id, fp): texts go to Python and nothing waits for them in the JVM."""
+    """(id, same, text) batches to (id, same, fp): texts go to Python and nothing waits for them in the JVM."""
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), _of_texts(b.column(1))], names=["id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _of_texts(b.column(2))], names=["id", "same", "fp"])
 
 
 def with_fingerprints(docs: DataFrame, text: str = "text", column: str = "fp") -> DataFrame:
@@ -115,6 +115,17 @@ def links(fps: DataFrame, pairs_up_to: int = PAIRS_UP_TO) -> DataFrame:
     return found.unionByName(starred).distinct()
 
 
+def _components(docs: DataFrame, id_column: str, text: str, pairs_up_to: int) -> DataFrame:
+    """(id, same, fp, component) of every row; same tells apart texts under one id, component is a fingerprint."""
+    ship(docs.sparkSession)
+    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("same"), F.col(text).alias("t"))
+    with short_batches(docs.sparkSession):
+        rows = written(texts.mapInArrow(_of_batches, "id long, same long, fp long"), "fingerprints")
+    fps = rows.select("fp").distinct()
+    parts = connected_components(written(links(fps, pairs_up_to), "links"))
+    return written(rows.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("id", "same", "fp", F.coalesce("component", "fp").alias("component")), "components")
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", pairs_up_to: int = PAIRS_UP_TO) -> DataFrame:
     """(id, fp, component_id) for every row: component_id is the least id within reach over links.
 
@@ -122,27 +133,28 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     rows stay repeated. A row with a null id keeps its fingerprint and its component, whose id is the
     least that is not null; a component of null ids alone has a null id. Other columns are not read.
     """
-    ship(docs.sparkSession)
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("t"))
-    with short_batches(docs.sparkSession):
-        rows = written(texts.mapInArrow(_of_batches, "id long, fp long"), "fingerprints")
-    reps = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    parts = connected_components(written(links(reps.select("fp"), pairs_up_to), "links"))
-    # components are named by a fingerprint; the least id in each is theirs
-    named = reps.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    named = written(named, "named")
-    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    members = named.join(ids, "component").select("fp", "component_id")
-    return rows.join(members, "fp").select(F.col("id").alias(id_column), "fp", "component_id")
-
-
-def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, that with the least id, with its own columns.
-
-    Repeated rows of that id leave one. Rows without an id are kept only where no id is in the component,
-    one of them.
+    rows = _components(docs, id_column, text, pairs_up_to)
+    ids = rows.groupBy("component").agg(F.min("id").alias("component_id"))
+    return rows.join(ids, "component").select(F.col("id").alias(id_column), "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text", pairs_up_to: int = PAIRS_UP_TO) -> DataFrame:
+    """One document of each component, that with the least id (null last), with its own columns.
+
+    Of several texts under that id, and of rows that repeat both, one stays. What goes is looked up by id
+    and text, so texts move only if very many documents go.
     """
-    found = near_duplicates(docs, id_column, text).select(F.col(id_column).alias("_id"), F.col("component_id").alias("_c"))
-    kept = found.where("_id <=> _c").select("_id").distinct()
-    first = docs.join(kept, F.col(id_column).cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    return first.dropDuplicates([id_column])
+    rows = _components(docs, id_column, text, pairs_up_to)
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "same")).alias("k")).select("component", F.col("k.id").alias("k_id"), F.col("k.same").alias("k_same"))
+    keys = rows.groupBy("id", "same", "component").agg(F.count(F.lit(1)).alias("n")).join(first, "component")
+    is_first = F.col("id").eqNullSafe(F.col("k_id")) & (F.col("same") == F.col("k_same"))
+    gone = small(written(keys.where(~is_first).select(F.col("id").alias("_id"), F.col("same").alias("_same")), "gone"))
+    repeated = small(written(keys.where(is_first & (F.col("n") > 1)).select(F.col("id").alias("_id"), F.col("same").alias("_same")), "repeated"))
+    alike = docs[id_column].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text]) == F.col("_same"))
+    kept = docs.join(gone, alike, "left_anti")
+    if repeated.isEmpty():
+        return kept
+    one = docs.join(repeated, alike, "left_semi").withColumn("_same", F.xxhash64(text)).dropDuplicates([id_column, "_same"]).drop("_same")
+    return kept.join(repeated, alike, "left_anti").unionByName(one)
+
+

@@ -6,8 +6,8 @@ chunked transfer framing. Reading groups continuations by origin, orders them by
 total length and decodes the chunks; digests are verified on the decoded payload.
 
 Archives are written by Spark's own text writer and read by its text reader, so any store that Spark
-reaches will do. A record ends in CRLF CRLF: the reader splits files at that and the next version line,
-and the writer sets chunk and segment ends so that this sequence never occurs inside a block.
+reaches will do. The reader splits files at version lines, and the writer ends a chunk inside every
+version string of a payload, so that none occurs in a block.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from longitrack.session import ship
 
 VERSION = b"WARC/1.1"
 CRLF = b"\r\n"
-BREAK = CRLF + CRLF + VERSION + CRLF
+#: No proper beginning of it is also its end, so a reader may stop and resume anywhere in it.
+BREAK = VERSION + CRLF
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SEGMENT = 32 * 1024
@@ -37,8 +38,8 @@ def base32_sha1(payload: bytes) -> str:
 
 
 def chunked(payload: bytes, size: int = CHUNK) -> bytes:
-    """Chunked transfer framing; a chunk also ends inside each sequence that looks like a record's end."""
-    ends = {*range(size, len(payload), size), len(payload)} | {m.start() + 4 for m in re.finditer(re.escape(BREAK), payload)}
+    """Chunked transfer framing; a chunk also ends inside each version string."""
+    ends = {*range(size, len(payload), size), len(payload)} | {m.start() + 4 for m in re.finditer(re.escape(VERSION), payload)}
     out, at = [], 0
     for end in sorted(ends):
         if end > at:
@@ -62,7 +63,8 @@ def dechunked(body: bytes) -> bytes:
 
 def _record(headers: list[tuple[str, object]], block: bytes) -> bytes:
     """A record without the last CRLF, which the writer's line end adds."""
-    lines = [VERSION, *(f"{k}: {v}".encode() for k, v in headers if v is not None), b"Content-Length: %d" % len(block)]
+    # a space keeps a value that ends like a version line from being one
+    lines = [VERSION, *(f"{k}: {v}".encode() + b" " * str(v).endswith(VERSION.decode()) for k, v in headers if v is not None), b"Content-Length: %d" % len(block)]
     return CRLF.join([*lines, b"", block, b""])
 
 
@@ -79,11 +81,7 @@ def records(record_id: str, uri: str | None, payload: bytes, digest: str, refers
         return [_record([("WARC-Type", "response"), *head], block)]
     cuts = [0]
     while cuts[-1] + segment < len(block):
-        cut = cuts[-1] + segment
-        # after its headers' end, no segment begins as if the next record did
-        while BREAK in CRLF + CRLF + block[cut : cut + len(BREAK)]:
-            cut += 1
-        cuts.append(cut)
+        cuts.append(cuts[-1] + segment)
     parts = [block[a:b] for a, b in zip(cuts, [*cuts[1:], len(block)], strict=True)]
     out = [_record([("WARC-Type", "response"), *head, ("WARC-Segment-Number", 1)], parts[0])]
     for i, part in enumerate(parts[1:], 2):
@@ -111,7 +109,6 @@ _PARSED = "record_id string, type string, uri string, digest string, refers_to s
 
 def _parse(raw: bytes) -> tuple | None:
     """A record's fields from what stands between two breaks; None for what is left after the last."""
-    raw = raw.removeprefix(VERSION + CRLF)
     head, sep, rest = raw.partition(CRLF + CRLF)
     if not sep:
         if raw.strip():

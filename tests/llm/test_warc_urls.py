@@ -14,8 +14,8 @@ def pages(spark, rows):
 def test_round_trip_with_segments_and_traps(spark, tmp_path):
     rnd = random.Random(1)
     trap = "\r\n\r\nWARC/1.1\r\n"
-    texts = ["", None, "x", trap, trap * 50, "a" + trap, "é😀" * 9000, "".join(rnd.choice("ab\r\n") for _ in range(50_000)) + trap, "same", "same", "WARC/1.1\r\n" * 5000, "\r" * 40_000]
-    rows = [(i, None if i == 3 else f"http://h/{i}\r\nX: y", t) for i, t in enumerate(texts)] + [(8, "http://h/8", "same")]
+    texts = ["", None, "x", trap, trap * 50, "a" + trap, "é😀" * 9000, "".join(rnd.choice("ab\r\n") for _ in range(50_000)) + trap, "same", "same", "WARC/1.1\r\n" * 5000, "\r" * 40_000, "b" * 8188 + "WARC/1.1", "WARC/1.1"]
+    rows = [(i, None if i == 3 else f"http://h/{i}\r\nX: WARC/1.1", t) for i, t in enumerate(texts)] + [(8, "http://h/8", "same")]
     path = f"file://{tmp_path}/w"
     warc.archive_pages(pages(spark, rows), path, segment=1000)
     got = warc.read_archives(spark, path).collect()
