@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longitrack.llm import decontaminate, mixing, pii, quality, secrets, simhash, urls, warc
+from longitrack.llm import decontaminate, mixing, passages, pii, quality, secrets, simhash, substrings, urls, warc
 from longitrack.llm.common import new_path, table
 
 
@@ -37,6 +37,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path, payloads=False).select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(got[n].alias(n) for n in ("n_assign", "n_access", "n_hex")), F.sha2(got["base"], 256).alias("base_sha256"), got["spans"].alias("spans"))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -61,8 +69,10 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_quality": op3_quality,
     "op4_warc": op4_warc,
+    "op5_passages": op5_passages,
     "op6_mixing": op6_mixing,
     "op7_secrets": op7_secrets,
+    "op8_substrings": op8_substrings,
     "op9_urls": op9_urls,
     "op10_pii": op10_pii,
 }
