@@ -1 +1,41 @@
+"""Scalar expressions shared by the operators; all stay inside generated code."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Fixed values of the data model.
+INADMISSIBLE = 1e6
+EPSILON = 1e-6
+
+
+def clip(x: Column, low: float, high: float) -> Column:
+    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+
+
+def ratio(a: Column, b: Column, empty: float | None) -> Column:
+    """a / b, or `empty` where b is 0."""
+    return F.when(b != 0, a / b).otherwise(F.lit(empty).cast("double"))
+
+
+def f1(tp: Column, fp: Column, fn: Column, empty: float | None) -> Column:
+    return ratio(2.0 * tp, 2.0 * tp + fp + fn, empty)
+
+
+def overlap_cost(similarity: Column, epsilon: float = EPSILON) -> Column:
+    """-ln of a similarity clipped away from 0."""
+    return -F.log(clip(similarity, epsilon, 1.0))
+
+
+def sigmoid(x: Column) -> Column:
+    return 1.0 / (1.0 + F.exp(-x))
+
+
+def logit(p: Column, epsilon: float = EPSILON) -> Column:
+    q = clip(p, epsilon, 1.0 - epsilon)
+    return F.log(q / (1.0 - q))
+
+
+def admissible(cost: Column) -> Column:
+    return cost.isNotNull() & ~F.isnan(cost) & (cost < INADMISSIBLE)

@@ -1,7 +1,525 @@
-"""All queries of the tracking engine and their SQL counterparts."""
+"""All queries of the tracking engine over the driver's tables, and their SQL counterparts.
+
+The tables carry no imaging data; each operator runs on a structural analogue: users are tracks and
+days sessions, documents and test items are ROIs with words as pixels, embeddings are ROI states with
+labels as sessions, market segments are approaches and nations subjects.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from longitrack.operators import assignment, cleanup, evaluation, learning, pairs, tracks
+from longitrack.streaming import stitching
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = ""
+FLAGSHIP = "track_link_scores"
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _round(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+# Tracks: users over days; the observed id is an hour of the day.
+
+
+def _tracks(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    hour = F.hour("ts")
+    roi = {"predicted": F.min(hour), "reference": F.max(hour), "teacher": F.floor(F.avg(hour))}[kind]
+    return _table(spark, d, "events").groupBy(F.col("user_id").alias("track_id"), (F.dayofmonth("ts") - 1).alias("session_index")).agg(roi.cast("long").alias("roi"))
+
+
+_TRACKS = """
+WITH p AS (SELECT user_id AS track_id, day(ts) - 1 AS session_index, min(hour(ts)) AS roi FROM events GROUP BY 1, 2),
+r AS (SELECT user_id AS track_id, day(ts) - 1 AS session_index, max(hour(ts)) AS roi FROM events GROUP BY 1, 2),
+t AS (SELECT user_id AS track_id, day(ts) - 1 AS session_index, CAST(floor(avg(hour(ts))) AS BIGINT) AS roi FROM events GROUP BY 1, 2),
+pl AS (SELECT a.track_id, a.session_index AS session_a, b.session_index AS session_b, a.roi AS roi_a, b.roi AS roi_b FROM p a JOIN p b ON a.track_id = b.track_id AND b.session_index = a.session_index + 1),
+rl AS (SELECT a.track_id, a.session_index AS session_a, b.session_index AS session_b, a.roi AS roi_a, b.roi AS roi_b FROM r a JOIN r b ON a.track_id = b.track_id AND b.session_index = a.session_index + 1),
+tl AS (SELECT a.track_id, a.session_index AS session_a, b.session_index AS session_b, a.roi AS roi_a, b.roi AS roi_b FROM t a JOIN t b ON a.track_id = b.track_id AND b.session_index = a.session_index + 1)
+"""
+_LEDGER = (
+    _TRACKS
+    + """, l AS (
+  SELECT session_a, session_b, roi_a, roi_b, coalesce(x.n, 0) AS n_predicted, coalesce(y.n, 0) AS n_reference
+  FROM (SELECT session_a, session_b, roi_a, roi_b, count(*) AS n FROM pl GROUP BY ALL) x
+  FULL JOIN (SELECT session_a, session_b, roi_a, roi_b, count(*) AS n FROM rl GROUP BY ALL) y USING (session_a, session_b, roi_a, roi_b)
+), e AS (SELECT *, least(n_predicted, n_reference) AS tp, greatest(n_predicted - n_reference, 0) AS fp, greatest(n_reference - n_predicted, 0) AS fn FROM l)
+"""
+)
+_SCORES = "CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, round(sum(tp) / sum(tp + fp), 6) AS precision, round(sum(tp) / sum(tp + fn), 6) AS recall, round(2 * sum(tp) / sum(2 * tp + fp + fn), 6) AS f1"
+
+
+@query(_LEDGER + f"SELECT {_SCORES} FROM e")
+def track_link_scores(spark, d):
+    e = tracks.ledger(tracks.links(_tracks(spark, d, "predicted")), tracks.links(_tracks(spark, d, "reference")), tracks.LINK)
+    return _round(tracks.scored(e), "precision", "recall", "f1")
+
+
+@query(_LEDGER + f"SELECT session_a, {_SCORES} FROM e GROUP BY 1")
+def track_link_scores_by_session(spark, d):
+    e = tracks.ledger(tracks.links(_tracks(spark, d, "predicted")), tracks.links(_tracks(spark, d, "reference")), tracks.LINK)
+    return _round(tracks.scored(e, ["session_a"]), "precision", "recall", "f1")
+
+
+@query(_LEDGER + "SELECT session_a, session_b, roi_a, roi_b, n_predicted, n_reference, tp, fp, fn FROM e")
+def track_link_ledger(spark, d):
+    return tracks.ledger(tracks.links(_tracks(spark, d, "predicted")), tracks.links(_tracks(spark, d, "reference")), tracks.LINK)
+
+
+def _complete_sql(n: int) -> str:
+    side = lambda v: f"SELECT ids, count(*) AS n FROM (SELECT track_id, list(roi ORDER BY session_index) AS ids FROM {v} WHERE session_index < {n} GROUP BY 1 HAVING count(*) = {n}) GROUP BY 1"
+    return f"SELECT {n} AS horizon, coalesce(sum(least(coalesce(x.n, 0), coalesce(y.n, 0))), 0) AS tp, coalesce(sum(greatest(coalesce(x.n, 0) - coalesce(y.n, 0), 0)), 0) AS fp, coalesce(sum(greatest(coalesce(y.n, 0) - coalesce(x.n, 0), 0)), 0) AS fn FROM ({side('p')}) x FULL JOIN ({side('r')}) y USING (ids)"
+
+
+@query(_TRACKS + f", e AS ({_complete_sql(3)}) SELECT {_SCORES} FROM e")
+def track_complete_scores(spark, d):
+    e = tracks.ledger(tracks.complete(_tracks(spark, d, "predicted"), 3), tracks.complete(_tracks(spark, d, "reference"), 3), ["identity"])
+    return _round(tracks.scored(e), "precision", "recall", "f1")
+
+
+@query(_TRACKS + f", e AS ({' UNION ALL '.join(map(_complete_sql, (2, 3, 4)))}) SELECT horizon, CAST(tp AS BIGINT) AS tp, CAST(fn AS BIGINT) AS fn, round(CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END, 6) AS proportion FROM e")
+def track_by_horizon(spark, d):
+    return _round(tracks.by_horizon(_tracks(spark, d, "predicted"), _tracks(spark, d, "reference"), [2, 3, 4]), "proportion")
+
+
+@query(
+    _TRACKS
+    + """, j AS (SELECT track_id, session_index - lag(session_index) OVER (PARTITION BY track_id ORDER BY session_index) AS jump FROM p),
+g AS (SELECT track_id, count(*) AS length, count(*) FILTER (jump > 1) AS breaks FROM j GROUP BY 1)
+SELECT count(*) AS n_tracks, count(*) FILTER (length = 30) AS complete_tracks, round(avg(length), 6) AS mean_length, CAST(sum(breaks) AS BIGINT) AS fragmentation FROM g"""
+)
+def track_summary(spark, d):
+    return _round(tracks.summary(_tracks(spark, d, "predicted"), 30), "mean_length")
+
+
+_VOTES = """, v AS (SELECT session_a, session_b, roi_a, roi_b, count(*) AS votes FROM (
+  SELECT DISTINCT 1 AS k, session_a, session_b, roi_a, roi_b FROM pl UNION ALL SELECT DISTINCT 2, session_a, session_b, roi_a, roi_b FROM rl
+  UNION ALL SELECT DISTINCT 3, session_a, session_b, roi_a, roi_b FROM tl) GROUP BY ALL)
+"""
+
+
+def _variants(spark, d):
+    each = [_tracks(spark, d, k).withColumn("variant", F.lit(k)) for k in ("predicted", "reference", "teacher")]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+@query(_TRACKS + _VOTES + "SELECT session_a, session_b, roi_a, roi_b, votes FROM v")
+def track_consensus_votes(spark, d):
+    return tracks.votes(_variants(spark, d))
+
+
+@query(
+    _TRACKS
+    + _VOTES
+    + """, cuts AS (SELECT track_id, session_b FROM pl JOIN v USING (session_a, session_b, roi_a, roi_b) WHERE votes < 2),
+n AS (SELECT p.*, row_number() OVER w - 1 AS before, count(*) OVER (PARTITION BY p.track_id) AS n, c.session_b FROM p LEFT JOIN cuts c ON c.track_id = p.track_id AND c.session_b = p.session_index WINDOW w AS (PARTITION BY p.track_id ORDER BY session_index)),
+s AS (SELECT *, CAST(sum(CASE WHEN session_b IS NOT NULL AND before >= 2 AND n - before >= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY session_index) AS BIGINT) AS piece FROM n)
+SELECT track_id, piece, count(*) AS length, min(session_index) AS first_session FROM s GROUP BY 1, 2"""
+)
+def track_stability_splits(spark, d):
+    mine = _tracks(spark, d, "predicted")
+    weak = tracks.links(mine).join(tracks.votes(_variants(spark, d)), tracks.LINK).where("votes < 2")
+    return tracks.split_at(mine, weak, 2).groupBy("track_id", "piece").agg(F.count(F.lit(1)).alias("length"), F.min("session_index").alias("first_session"))
+
+
+@query(
+    _TRACKS
+    + """, c AS (SELECT r.track_id, session_index, g FROM r, range(1, 5) AS k(g) WHERE session_index + g <= (SELECT max(session_index) FROM r z WHERE z.track_id = r.track_id)),
+h AS (SELECT g AS gap, count(z.track_id) AS positives, count(*) AS opportunities FROM c LEFT JOIN r z ON z.track_id = c.track_id AND z.session_index = c.session_index + c.g GROUP BY 1)
+SELECT CAST(gap AS BIGINT) AS gap, positives, opportunities, round(-ln((positives + 1) / greatest(opportunities + 2, 1)), 6) AS cost FROM h"""
+)
+def track_gap_costs(spark, d):
+    return _round(tracks.gap_costs(_tracks(spark, d, "reference"), 4), "cost")
+
+
+@query(
+    _TRACKS
+    + """, a AS (SELECT session_a, session_b, roi_a, roi_b, bool_or(k = 1) AS g, bool_or(k = 2) AS t, bool_or(k = 3) AS p FROM (
+  SELECT 1 AS k, session_a, session_b, roi_a, roi_b FROM rl UNION ALL SELECT 2, session_a, session_b, roi_a, roi_b FROM tl UNION ALL SELECT 3, session_a, session_b, roi_a, roi_b FROM pl) GROUP BY ALL)
+SELECT CASE WHEN g AND t AND p THEN 'all_agree' WHEN g AND t THEN 'prediction_missed_teacher_found' WHEN g AND p THEN 'prediction_found_teacher_missed' WHEN g THEN 'both_missed'
+  WHEN t AND p THEN 'shared_false_positive' WHEN p THEN 'prediction_false_positive' ELSE 'teacher_false_positive' END AS category, count(*) AS n FROM a GROUP BY 1"""
+)
+def track_teacher_audit(spark, d):
+    of = lambda k: tracks.links(_tracks(spark, d, k))
+    return tracks.audit(of("reference"), of("teacher"), of("predicted")).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    _TRACKS
+    + "SELECT b.session_index - a.session_index AS gap, count(*) AS n_edges, count(*) FILTER (a.roi = b.roi) AS n_same FROM p a JOIN p b ON a.track_id = b.track_id AND b.session_index BETWEEN a.session_index + 1 AND a.session_index + 3 GROUP BY 1"
+)
+def track_edge_index(spark, d):
+    e = tracks.edge_index(_tracks(spark, d, "predicted"), 3)
+    return e.groupBy((F.col("session_b") - F.col("session_a")).alias("gap")).agg(F.count(F.lit(1)).alias("n_edges"), F.count_if(F.col("roi_a") == F.col("roi_b")).alias("n_same"))
+
+
+@query(_TRACKS + f", s AS (SELECT DISTINCT roi FROM r WHERE session_index = 0), k AS (SELECT track_id FROM p WHERE session_index = 0 AND roi IN (FROM s)) SELECT count(DISTINCT track_id) AS n_tracks, count(*) AS n_observations, CAST(sum(roi) AS BIGINT) AS roi_sum FROM p WHERE track_id IN (FROM k)")
+def track_seed_restriction(spark, d):
+    kept = tracks.seeded(_tracks(spark, d, "predicted"), _tracks(spark, d, "reference"))
+    return kept.agg(F.count_distinct("track_id").alias("n_tracks"), F.count(F.lit(1)).alias("n_observations"), F.sum("roi").alias("roi_sum"))
+
+
+@query(
+    """
+WITH m AS (SELECT turn AS session_a, conv_id AS roi_a, conv_id + turn AS roi_b FROM conversations WHERE role = 'user'),
+s AS (SELECT DISTINCT conv_id AS track_id, conv_id AS roi FROM conversations),
+a AS (SELECT track_id, 0 AS session_index, roi FROM s),
+b AS (SELECT track_id, 1 AS session_index, m.roi_b AS roi FROM a JOIN m ON m.session_a = 0 AND m.roi_a = a.roi),
+c AS (SELECT track_id, 2 AS session_index, m.roi_b AS roi FROM b JOIN m ON m.session_a = 1 AND m.roi_a = b.roi)
+SELECT track_id, session_index, roi FROM a UNION ALL FROM b UNION ALL FROM c"""
+)
+def track_stitching(spark, d):
+    c = _table(spark, d, "conversations")
+    matches = c.where("role = 'user'").select(F.col("turn").alias("session_a"), F.col("conv_id").alias("roi_a"), (F.col("conv_id") + F.col("turn")).alias("roi_b"))
+    return tracks.stitched(matches, c.select(F.col("conv_id").alias("track_id"), F.col("conv_id").alias("roi")).distinct(), 3)
+
+
+# Sparse supports: words as pixels.
+
+
+def _pixels(df: DataFrame, roi: str) -> DataFrame:
+    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")
+    return df.select(roi, word).groupBy(roi, "word").agg(F.count(F.lit(1)).alias("w"))
+
+
+_PIXELS = """
+WITH a AS (SELECT item_id, word, count(*) AS w FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark) GROUP BY 1, 2),
+b AS (SELECT doc_id, word, count(*) AS w FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) GROUP BY 1, 2),
+sa AS (SELECT item_id, count(*) AS area_a, sum(w) AS mass_a, sqrt(sum(w * w)) AS norm_a FROM a GROUP BY 1),
+sb AS (SELECT doc_id, count(*) AS area_b, sum(w) AS mass_b, sqrt(sum(w * w)) AS norm_b FROM b GROUP BY 1),
+j AS (SELECT item_id, doc_id, count(*) AS inter, sum(least(a.w, b.w)) AS ms, sum(a.w * b.w) AS dot FROM a JOIN b USING (word) GROUP BY 1, 2),
+o AS (SELECT *, inter / (area_a + area_b - inter) AS iou, dot / greatest(norm_a * norm_b, 1e-6) AS cosine, abs(ln(area_a / area_b)) AS area_cost FROM j JOIN sa USING (item_id) JOIN sb USING (doc_id)),
+c AS (SELECT item_id, doc_id, greatest(6 * -ln(least(greatest(iou, 1e-6), 1)) + 2 * (1 - cosine) + 0.5 * area_cost, 0) AS cost FROM o)
+"""
+
+
+def _overlaps(spark, d):
+    return pairs.overlaps(_pixels(_table(spark, d, "benchmark"), "item_id"), _pixels(_table(spark, d, "documents"), "doc_id"), "item_id", "doc_id", ["word"])
+
+
+def _costs(spark, d):
+    return _overlaps(spark, d).select("item_id", "doc_id", pairs.total_cost(None, 1.0, F.col("iou"), F.col("cosine"), F.col("area_cost")).alias("cost"))
+
+
+@query(
+    _PIXELS
+    + """SELECT item_id, doc_id, inter, area_a, area_b, round(iou, 6) AS iou, round(ms / (mass_a + mass_b - ms), 6) AS soft_iou, round(cosine, 6) AS cosine, round(2 * inter / (area_a + area_b), 6) AS dice,
+round(2 * ms / (mass_a + mass_b), 6) AS weighted_dice, round(inter / least(area_a, area_b), 6) AS overlap_min, round(inter / area_a, 6) AS containment_a, round(inter / area_b, 6) AS containment_b,
+round(abs(inter / area_a - inter / area_b), 6) AS containment_asymmetry, round(area_cost, 6) AS area_cost FROM o"""
+)
+def pair_overlaps(spark, d):
+    return _round(_overlaps(spark, d), "iou", "soft_iou", "cosine", "dice", "weighted_dice", "overlap_min", "containment_a", "containment_b", "containment_asymmetry", "area_cost")
+
+
+@query(
+    _PIXELS
+    + """, k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY cost, doc_id) AS row_rank, row_number() OVER (PARTITION BY doc_id ORDER BY cost, item_id) AS column_rank,
+  min(cost) OVER (PARTITION BY item_id) AS rb, min(cost) OVER (PARTITION BY doc_id) AS cb FROM c)
+SELECT item_id, doc_id, round(cost, 6) AS cost, row_rank, column_rank FROM k WHERE (row_rank <= 5 OR column_rank <= 1) AND (cost <= rb + 4 OR cost <= cb + 4)"""
+)
+def pair_candidates(spark, d):
+    ranked = pairs.ranks(_costs(spark, d), [], "item_id", "doc_id")
+    kept = ranked.where("row_rank <= 5 OR column_rank <= 1").where("cost <= row_best + 4 OR cost <= column_best + 4")
+    return _round(kept.select("item_id", "doc_id", "cost", F.col("row_rank").cast("long"), F.col("column_rank").cast("long")), "cost")
+
+
+# States: embeddings, labels as sessions.
+
+
+def _states(spark, d, gap: int = 1) -> DataFrame:
+    e = _table(spark, d, "embeddings")
+    a = e.select(F.col("label").alias("session_a"), F.col("vec_id").alias("roi_a"), F.col("embedding").alias("ea"))
+    b = e.select(F.col("label").alias("session_b"), F.col("vec_id").alias("roi_b"), F.col("embedding").alias("eb"))
+    both = a.withColumn("session_b", F.explode(F.sequence(F.col("session_a") + 1, F.col("session_a") + gap))).join(b, "session_b")
+    d2 = F.aggregate(F.zip_with("ea", "eb", lambda x, y: F.pow(x.cast("double") - y.cast("double"), 2)), F.lit(0.0), lambda s, x: s + x)
+    return both.select("session_a", "session_b", "roi_a", "roi_b", F.sqrt(d2).alias("cost"))
+
+
+def _states_sql(gap: int = 1) -> str:
+    return f"""
+WITH d AS (SELECT a.label AS session_a, b.label AS session_b, a.vec_id AS roi_a, b.vec_id AS roi_b,
+  sqrt(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: pow(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE, 2)))) AS cost
+  FROM embeddings a JOIN embeddings b ON b.label BETWEEN a.label + 1 AND a.label + {gap}),
+k AS (SELECT *, row_number() OVER (PARTITION BY session_a, session_b, roi_a ORDER BY cost, roi_b) AS row_rank, row_number() OVER (PARTITION BY session_a, session_b, roi_b ORDER BY cost, roi_a) AS column_rank FROM d)
+"""
+
+
+_EDGE = ["session_a", "session_b"]
+
+
+@query(
+    _states_sql()
+    + """, m AS (SELECT *, nth_value(cost, 1) OVER r AS f1, nth_value(cost, 2) OVER r AS s1, nth_value(cost, 1) OVER c AS f2, nth_value(cost, 2) OVER c AS s2 FROM k
+  WINDOW r AS (PARTITION BY session_a, session_b, roi_a ORDER BY cost, roi_b ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), c AS (PARTITION BY session_a, session_b, roi_b ORDER BY cost, roi_a ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT session_a, session_b, roi_a, roi_b, round(cost, 6) AS cost, row_rank, column_rank, round(CASE WHEN row_rank = 1 THEN s1 ELSE f1 END - cost, 6) AS row_margin, round(CASE WHEN column_rank = 1 THEN s2 ELSE f2 END - cost, 6) AS column_margin,
+  row_rank = 1 AND column_rank = 1 AS mutual_top1 FROM m WHERE row_rank <= 3 OR column_rank <= 3"""
+)
+def state_ranks(spark, d):
+    ranked = pairs.candidates(pairs.ranks(_states(spark, d), _EDGE, "roi_a", "roi_b"), 3)
+    out = ranked.select(*tracks.LINK, "cost", F.col("row_rank").cast("long"), F.col("column_rank").cast("long"), "row_margin", "column_margin", "mutual_top1")
+    return _round(out, "cost", "row_margin", "column_margin")
+
+
+@query(_states_sql() + "SELECT session_a, session_b, roi_a, roi_b, round(posterior, 6) AS posterior FROM (SELECT *, exp(-(cost - min(cost) OVER w) / 0.05) / sum(exp(-(cost - m) / 0.05)) OVER w AS posterior FROM (SELECT *, min(cost) OVER w AS m FROM d WINDOW w AS (PARTITION BY session_a, session_b, roi_a)) WINDOW w AS (PARTITION BY session_a, session_b, roi_a)) WHERE posterior >= 0.1")
+def state_posteriors(spark, d):
+    return _round(pairs.posteriors(_states(spark, d), _EDGE, "roi_a", 0.05).where("posterior >= 0.1").select(*tracks.LINK, "posterior"), "posterior")
+
+
+@query(
+    _states_sql(2)
+    + """, h AS (SELECT * FROM k WHERE session_b = session_a + 1 AND row_rank <= 2),
+two AS (SELECT x.session_a, y.session_b, x.roi_a, y.roi_b, min(x.cost + y.cost) AS support FROM h x JOIN h y ON y.session_a = x.session_b AND y.roi_a = x.roi_b GROUP BY ALL)
+SELECT session_a, session_b, count(*) AS n_pairs, count(support) AS n_supported, round(sum(coalesce(least(greatest(support - 2, 0), 3), 3)), 4) AS penalty
+FROM (SELECT * FROM d WHERE session_b = session_a + 2) LEFT JOIN two USING (session_a, session_b, roi_a, roi_b) GROUP BY 1, 2"""
+)
+def state_triplet_support(spark, d):
+    t = pairs.triplet_support(_states(spark, d, 2), 2, 2.0, 3.0)
+    return t.groupBy(*_EDGE).agg(F.count(F.lit(1)).alias("n_pairs"), F.count("support").alias("n_supported"), F.round(F.sum("penalty"), 4).alias("penalty"))
+
+
+@query(
+    _states_sql()
+    + """, q AS (SELECT session_a, session_b, quantile_cont(cost, 0.25) AS lim FROM d GROUP BY 1, 2)
+SELECT session_a, session_b, roi_a, roi_b, round(cost, 6) AS cost, round(greatest(0, cost - 0.5), 6) AS relieved FROM k JOIN q USING (session_a, session_b) WHERE row_rank = 1 AND column_rank = 1 AND cost <= lim"""
+)
+def state_anchors(spark, d):
+    a = pairs.anchors(pairs.ranks(_states(spark, d), _EDGE, "roi_a", "roi_b"), _EDGE, 0.25, 0.5)
+    return _round(a.select(*tracks.LINK, "cost", "relieved"), "cost", "relieved")
+
+
+@query()
+def state_assignment(spark, d):
+    return assignment.assign(_states(spark, d), _EDGE, max_cost=50.0)
+
+
+@query(
+    _states_sql()
+    + """, s AS (SELECT *, 1 / (1 + cost) AS sim FROM d), hi AS (SELECT * FROM s WHERE sim >= 0.08),
+sp AS (SELECT 'split' AS kind, session_a, session_b, roi_a AS parent, n_children, avg(sim) AS score FROM (SELECT *, count(*) OVER w AS n_children, row_number() OVER (w ORDER BY sim DESC, roi_b) AS i FROM hi WINDOW w AS (PARTITION BY session_a, session_b, roi_a)) WHERE n_children >= 2 AND i <= 4 GROUP BY ALL),
+me AS (SELECT 'merge' AS kind, session_a, session_b, roi_b AS parent, n_children, avg(sim) AS score FROM (SELECT *, count(*) OVER w AS n_children, row_number() OVER (w ORDER BY sim DESC, roi_a) AS i FROM hi WINDOW w AS (PARTITION BY session_a, session_b, roi_b)) WHERE n_children >= 2 AND i <= 4 GROUP BY ALL)
+SELECT kind, session_a, session_b, parent, n_children, round(score, 6) AS score FROM (FROM sp UNION ALL FROM me)"""
+)
+def state_segmentation_events(spark, d):
+    similar = _states(spark, d).withColumn("similarity", 1.0 / (1.0 + F.col("cost")))
+    return _round(pairs.segmentation_events(similar, _EDGE, "roi_a", "roi_b", "similarity", 0.08, 2, 4), "score")
+
+
+@query(
+    _states_sql()
+    + """, l AS (SELECT *, CASE WHEN roi_a % 7 = roi_b % 7 THEN 1 ELSE 0 END AS label FROM d),
+g AS (SELECT *, rank() OVER (PARTITION BY session_a, session_b, roi_a ORDER BY cost) AS rr, rank() OVER (PARTITION BY session_a, session_b, roi_b ORDER BY cost) AS cr, min(cost) FILTER (label = 0) OVER (PARTITION BY session_a, session_b, roi_a) - cost AS rm FROM l)
+SELECT session_a, count(*) AS edges, round(avg(CASE WHEN rr <= 1 THEN 1.0 ELSE 0 END), 6) AS hit_at_1, round(avg(CASE WHEN rr <= 3 THEN 1.0 ELSE 0 END), 6) AS hit_at_3, round(avg(CASE WHEN rr <= 5 THEN 1.0 ELSE 0 END), 6) AS hit_at_5, round(avg(CASE WHEN rr <= 10 THEN 1.0 ELSE 0 END), 6) AS hit_at_10,
+  round(avg(CASE WHEN rr = 1 AND cr = 1 THEN 1.0 ELSE 0 END), 6) AS mutual_top1_rate, round(avg(rm), 6) AS mean_row_margin, round(quantile_cont(rm, 0.5), 6) AS median_row_margin FROM g WHERE label = 1 GROUP BY 1"""
+)
+def state_edge_ranking(spark, d):
+    cells = _states(spark, d).withColumn("label", F.when(F.col("roi_a") % 7 == F.col("roi_b") % 7, 1).otherwise(0))
+    s = evaluation.ranking_summary(evaluation.edge_ranks(cells, _EDGE, "roi_a", "roi_b", "cost"), ["session_a"])
+    return _round(s, *(c for c in s.columns if c not in ("session_a", "edges")))
+
+
+# Calibration: a squashed length against quality.
+
+_PROB = "WITH c AS (SELECT quality AS y, n_chars / (n_chars + 2000.0) AS p FROM labels JOIN documents USING (doc_id))"
+_BINS = "(" + " + ".join(f"(p >= {i / 10!r})::INT" for i in range(1, 10)) + ")"
+
+
+def _probabilities(spark, d):
+    n = F.col("n_chars")
+    return _table(spark, d, "labels").join(_table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id").select(F.col("quality").alias("y"), (n / (n + 2000.0)).alias("p"))
+
+
+@query(_PROB + f"SELECT {_BINS} AS bin, count(*) AS n, round(avg(p), 6) AS mean_probability, round(avg(y), 6) AS positive_rate, round(abs(avg(p) - avg(y)), 6) AS error FROM c GROUP BY 1")
+def calibration_bins(spark, d):
+    return _round(evaluation.reliability_bins(_probabilities(spark, d), "p", "y"), "mean_probability", "positive_rate", "error")
+
+
+@query(_PROB + f", b AS (SELECT {_BINS} AS bin, count(*) AS n, avg(p) AS mp, avg(y) AS my, sum(pow(p - y, 2)) AS sq FROM c GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS n, round(sum(n * abs(mp - my)) / sum(n), 6) AS ece, round(max(abs(mp - my)), 6) AS mce, round(sum(sq) / sum(n), 6) AS brier FROM b")
+def calibration_summary(spark, d):
+    return _round(evaluation.calibration(_probabilities(spark, d), "p", "y"), "ece", "mce", "brier")
+
+
+@query(_PROB + """, t AS (SELECT t / 10.0 AS threshold, count(*) FILTER (p >= t / 10.0 AND y = 1) AS tp, count(*) FILTER (p >= t / 10.0 AND y = 0) AS fp, count(*) FILTER (p < t / 10.0 AND y = 1) AS fn FROM c, range(1, 10) AS r(t) GROUP BY t)
+SELECT CAST(threshold AS DOUBLE) AS threshold, tp, fp, fn, round(CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END, 6) AS precision, round(CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END, 6) AS recall, round(CASE WHEN tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) AS f1 FROM t""")
+def calibration_thresholds(spark, d):
+    return _round(evaluation.threshold_table(_probabilities(spark, d), "p", "y", [i / 10 for i in range(1, 10)]), "precision", "recall", "f1")
+
+
+@query("SELECT quality, toxic, count(*) AS n_group, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6) AS weight FROM labels GROUP BY 1, 2")
+def calibration_weights(spark, d):
+    return _round(evaluation.balanced_weights(_table(spark, d, "labels"), "quality", ["toxic"]), "weight")
+
+
+# Reports: market segments as approaches, nations as subjects, prices as scores.
+
+
+def _results(spark, d):
+    o = _table(spark, d, "orders").join(_table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    high, low = F.col("o_totalprice") > 200000, F.col("o_totalprice") < 50000
+    count = lambda c: F.count_if(c).alias
+    return o.groupBy(F.col("c_mktsegment").alias("approach"), F.col("c_nationkey").alias("subject")).agg(F.avg(F.col("o_totalprice") / 500000.0).alias("score"), count(high)("tp"), count(low)("fp"), count(~high & ~low)("fn"))
+
+
+_RESULTS = """
+WITH res AS (SELECT c_mktsegment AS approach, c_nationkey AS subject, avg(o_totalprice / 500000.0) AS score, count(*) FILTER (o_totalprice > 200000) AS tp, count(*) FILTER (o_totalprice < 50000) AS fp, count(*) FILTER (o_totalprice BETWEEN 50000 AND 200000) AS fn
+  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+agg AS (SELECT approach, count(*) AS n_rows, avg(score) AS score_macro, CASE WHEN count(*) = 1 THEN 0.0 ELSE stddev_samp(score) END AS score_sd, 2 * sum(tp) / sum(2 * tp + fp + fn) AS pair_micro_f1 FROM res GROUP BY 1)
+"""
+
+
+def _aggregated(spark, d):
+    return evaluation.comparison(_results(spark, d), "approach", ["score"], {"pair": ("tp", "fp", "fn")})
+
+
+@query(_RESULTS + "SELECT approach, n_rows, round(score_macro, 6) AS score_macro, round(score_sd, 6) AS score_sd, round(pair_micro_f1, 6) AS pair_micro_f1 FROM agg")
+def report_comparison(spark, d):
+    return _round(_aggregated(spark, d), "score_macro", "score_sd", "pair_micro_f1")
+
+
+@query(
+    _RESULTS
+    + """, l AS (SELECT approach, 'score_macro' AS metric, score_macro AS value FROM agg UNION ALL SELECT approach, 'pair_micro_f1', pair_micro_f1 FROM agg)
+SELECT approach, metric, round(value, 6) AS value, rank() OVER (PARTITION BY metric ORDER BY value DESC) AS place, value = max(value) OVER (PARTITION BY metric) AS is_best,
+  round(value - max(value) FILTER (approach = 'BUILDING') OVER (PARTITION BY metric), 6) AS gap FROM l"""
+)
+def report_standings(spark, d):
+    s = evaluation.standings(_aggregated(spark, d), "approach", ["score_macro", "pair_micro_f1"], "BUILDING")
+    return _round(s.withColumn("place", F.col("place").cast("long")), "value", "gap")
+
+
+@query(_RESULTS + ", b AS (SELECT subject, score AS base FROM res WHERE approach = 'BUILDING') SELECT subject, approach, round(score, 6) AS value, round(greatest(base - score, 0), 6) AS deficit FROM res LEFT JOIN b USING (subject) WHERE approach <> 'BUILDING'")
+def report_deficits(spark, d):
+    return _round(evaluation.deficits(_results(spark, d), "subject", "approach", "score", "BUILDING"), "value", "deficit")
+
+
+@query(
+    _RESULTS
+    + """, o AS (SELECT subject, approach, score, (sum(score) OVER w - score) / (count(*) OVER w - 1) AS rest FROM res WINDOW w AS (PARTITION BY approach)),
+k AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY round(rest, 9) DESC, approach) AS i FROM o)
+SELECT subject, approach AS selected, round(rest, 6) AS training_mean, round(score, 6) AS held_out FROM k WHERE i = 1"""
+)
+def report_nested_selection(spark, d):
+    return _round(evaluation.nested_selection(_results(spark, d), "subject", "approach", "score"), "training_mean", "held_out")
+
+
+@query(
+    _RESULTS
+    + "SELECT approach, subject, CAST(sum(tp) OVER w + 100 AS BIGINT) AS tp, CAST(sum(fp) OVER w + 10 AS BIGINT) AS fp, CAST(sum(fn) OVER w + 10 AS BIGINT) AS fn, round(2 * (sum(tp) OVER w + 100) / (2 * (sum(tp) OVER w + 100) + sum(fp) OVER w + 10 + sum(fn) OVER w + 10), 6) AS f1 FROM res WINDOW w AS (PARTITION BY approach ORDER BY subject ROWS UNBOUNDED PRECEDING)"
+)
+def report_running_whatif(spark, d):
+    edits = _results(spark, d).select("approach", "subject", *(F.col(c).alias(f"d_{c}") for c in ("tp", "fp", "fn")))
+    out = evaluation.running_whatif(edits, ["approach"], ["subject"], (100, 10, 10))
+    return _round(out.select("approach", "subject", "tp", "fp", "fn", "f1"), "f1")
+
+
+# Geometry: suppliers' balances and keys as coordinates.
+
+
+@query(
+    """
+WITH s AS (SELECT n_regionkey AS g, s_suppkey % 97 * 1.0 AS x, s_acctbal / 100 AS y, 2.0 + 1.1 * (s_suppkey % 97) + s_acctbal / 1000 + (s_suppkey % 5) AS tx, 1.0 - 0.1 * (s_suppkey % 97) + 0.9 * s_acctbal / 100 + (s_suppkey % 3) AS ty FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+m AS (SELECT g, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(tx) AS mu, avg(ty) AS mv, var_pop(x) AS a, var_pop(y) AS b, covar_pop(x, y) AS c, covar_pop(x, tx) AS xu, covar_pop(y, tx) AS yu, covar_pop(x, ty) AS xv, covar_pop(y, ty) AS yv FROM s GROUP BY 1),
+f AS (SELECT *, (xu * b - yu * c) / (a * b - c * c) AS ux, (yu * a - xu * c) / (a * b - c * c) AS uy, (xv * b - yv * c) / (a * b - c * c) AS vx, (yv * a - xv * c) / (a * b - c * c) AS vy FROM m WHERE n >= 3 AND a * b - c * c <> 0)
+SELECT g, n, round(mu - ux * mx - uy * my, 5) AS tx_0, round(ux, 6) AS tx_x, round(uy, 6) AS tx_y, round(mv - vx * mx - vy * my, 5) AS ty_0, round(vx, 6) AS ty_x, round(vy, 6) AS ty_y FROM f"""
+)
+def geometry_affine_fit(spark, d):
+    k, b = F.col("s_suppkey"), F.col("s_acctbal")
+    s = _table(spark, d, "supplier").join(_table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    pts = s.select(F.col("n_regionkey").alias("g"), (k % 97 * 1.0).alias("x"), (b / 100).alias("y"), (2.0 + 1.1 * (k % 97) + b / 1000 + k % 5).alias("tx"), (1.0 - 0.1 * (k % 97) + 0.9 * b / 100 + k % 3).alias("ty"))
+    out = pairs.affine_fit(pts, ["g"])
+    return out.withColumns({c: F.round(c, 5 if c.endswith("_0") else 6) for c in out.columns if c[0] == "t"})
+
+
+@query(
+    """
+WITH pts AS (SELECT c_nationkey AS g, c_custkey AS roi, c_acctbal AS x, (c_custkey * 37 % 1009) * 10.0 AS y FROM customer)
+SELECT a.g AS g, a.roi AS roi_a, b.roi AS roi_b, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 6) AS distance FROM pts a JOIN pts b ON a.g = b.g AND abs(a.x - b.x) <= 150 AND abs(a.y - b.y) <= 150 WHERE sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 150"""
+)
+def geometry_radius_join(spark, d):
+    pts = _table(spark, d, "customer").select(F.col("c_nationkey").alias("g"), F.col("c_custkey").alias("roi"), F.col("c_acctbal").alias("x"), (F.col("c_custkey") * 37 % 1009 * 10.0).alias("y"))
+    return _round(pairs.within_radius(pts, pts, 150.0, ["g"]), "distance")
+
+
+@query(
+    """
+WITH t AS (SELECT l_suppkey AS roi, l_quantity AS x, l_discount * 100 AS y FROM lineitem), m AS (SELECT roi, count(*) AS area, avg(x) AS cx, avg(y) AS cy, var_pop(x) + 1e-6 AS cxx, var_pop(y) + 1e-6 AS cyy, covar_pop(x, y) AS cxy FROM t GROUP BY 1)
+SELECT roi, area, round(cx, 6) AS cx, round(cy, 6) AS cy, round(cxx, 6) AS cxx, round(cyy, 6) AS cyy, round(cxy, 6) AS cxy FROM m"""
+)
+def geometry_moments(spark, d):
+    p = _table(spark, d, "lineitem").select(F.col("l_suppkey").alias("roi"), F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"))
+    return _round(pairs.moments(p, "roi"), "cx", "cy", "cxx", "cyy", "cxy")
+
+
+@query(
+    """
+WITH s AS (SELECT user_id, day(ts) AS day, sum(value) AS v FROM events GROUP BY 1, 2)
+SELECT a.user_id AS roi_a, b.user_id AS roi_b, count(*) AS n, round(corr(a.v, b.v), 6) AS correlation FROM s a JOIN s b ON b.day = a.day AND b.user_id = a.user_id + 1 GROUP BY 1, 2 HAVING count(*) >= 3"""
+)
+def activity_correlation(spark, d):
+    s = _table(spark, d, "events").groupBy("user_id", F.dayofmonth("ts").alias("day")).agg(F.sum("value").alias("v"))
+    b = s.select((F.col("user_id") - 1).alias("user_id"), "day", F.col("v").alias("w"))
+    out = s.join(b, ["user_id", "day"]).groupBy(F.col("user_id").alias("roi_a"), (F.col("user_id") + 1).alias("roi_b")).agg(F.count(F.lit(1)).alias("n"), F.corr("v", "w").alias("correlation"))
+    return _round(out.where("n >= 3"), "correlation")
+
+
+# Repair and streams.
+
+
+@query()
+def track_gap_insertion(spark, d):
+    mine = _tracks(spark, d, "predicted").withColumn("subject", (F.col("track_id") % 10).cast("string"))
+    other = _tracks(spark, d, "reference")
+    edges = tracks.links(other).withColumn("subject", (F.col("track_id") % 10).cast("string")).groupBy("subject", *tracks.LINK).agg(F.count(F.lit(1)).alias("priority"))
+    return cleanup.insert_edges(mine, edges, 3)
+
+
+@query(
+    """
+WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS starts FROM events),
+g AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM s)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOURS AS session_end, count(*) AS n FROM g GROUP BY user_id, k"""
+)
+def stream_sessions(spark, d):
+    return stitching.sessions(_table(spark, d, "events"))
+
+
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def stream_windowed_activity(spark, d):
+    return stitching.windowed_activity(_table(spark, d, "events")).withColumn("total", F.round("total", 4))
+
+
+@query(
+    _states_sql()
+    + """, s AS (SELECT *, 1 / (1 + cost) AS sim FROM d), w AS (SELECT *, nth_value(sim, 1) OVER r AS r1, nth_value(sim, 2) OVER r AS r2, row_number() OVER r0 AS rk, nth_value(sim, 1) OVER c AS c1, nth_value(sim, 2) OVER c AS c2, row_number() OVER c0 AS ck FROM s
+  WINDOW r AS (PARTITION BY session_a, session_b, roi_a ORDER BY sim DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), r0 AS (PARTITION BY session_a, session_b, roi_a ORDER BY sim DESC), c AS (PARTITION BY session_a, session_b, roi_b ORDER BY sim DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), c0 AS (PARTITION BY session_a, session_b, roi_b ORDER BY sim DESC)),
+m AS (SELECT *, sim - 0.1 AS tm, sim - CASE WHEN rk = 1 THEN r2 ELSE r1 END AS rm, sim - CASE WHEN ck = 1 THEN c2 ELSE c1 END AS cm FROM w)
+SELECT session_a, session_b, count(*) AS n, count(*) FILTER (tm < 0.1 AND rm < 0.2 AND cm < 0.2 AND cost > 4) AS n_pruned, round(avg(rm), 6) AS mean_row_margin FROM m GROUP BY 1, 2"""
+)
+def state_link_pruning(spark, d):
+    similar = _states(spark, d).withColumn("similarity", 1.0 / (1.0 + F.col("cost")))
+    x = cleanup.link_diagnostics(similar, _EDGE, "roi_a", "roi_b", "similarity", 0.1)
+    prune = cleanup.should_prune(F.col("threshold_margin"), F.col("row_competition_margin"), F.col("column_competition_margin"), F.lit(1.0), F.col("cost"))
+    return x.groupBy(*_EDGE).agg(F.count(F.lit(1)).alias("n"), F.count_if(prune).alias("n_pruned"), F.round(F.avg("row_competition_margin"), 6).alias("mean_row_margin"))
+
+
+@query()
+def state_match_model(spark, d):
+    cells = _states(spark, d).withColumn("label", F.when(F.col("roi_a") % 7 == F.col("roi_b") % 7, 1).otherwise(0))
+    some = learning.hard_negatives(cells, _EDGE, "roi_a", "roi_b", "cost")
+    model = learning.fit_match_model(some.withColumn("distance", F.col("cost")), ["distance"])
+    return learning.match_probability(cells.withColumn("distance", F.col("cost")), model, ["distance"]).select(*tracks.LINK, "label", "match_probability", "cost")
