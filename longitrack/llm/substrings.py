@@ -198,7 +198,8 @@ def removed_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
         every = written(texts.mapInArrow(scan, shape), "anchors")
     known = every.where("n = 0").select("doc", "same", F.col("lo").alias("start"), F.col("hi").alias("end"))
     marks = every.where("n > 0")
-    keys = marks.groupBy("key").agg(F.sum("n").alias("total")).where("total > 1").select("key")
+    # tables of their own, so that joins with them can split a k-gram that is in very many places
+    keys = written(marks.groupBy("key").agg(F.sum("n").alias("total")).where("total > 1").select("key"), "keys")
     # rows of one text repeated are one in `marks` for each row, so counts are of occurrences
     held = written(marks.join(keys, "key", "left_semi"), "repeated-grams")
     contexts = held.groupBy("key", "context").agg(F.sum("n").alias("times"), F.min(F.struct("p", "same", "doc", "lo", "hi")).alias("rep"))
@@ -206,7 +207,7 @@ def removed_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     whole = held.join(contexts.where("times > 1").select("key", "context"), ["key", "context"], "left_semi").select("doc", "same", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
 
     # k-grams with a context that is alone among several: their contexts are compared window by window
-    open_keys = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("times").alias("least")).where("m > 1 AND least = 1").select("key", "m")
+    open_keys = written(contexts.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("times").alias("least")).where("m > 1 AND least = 1").select("key", "m"), "open-keys")
     asked = contexts.join(open_keys, "key").select("key", "context", "m", "times", "rep.doc", "rep.same", (F.col("rep.p") - F.col("rep.lo")).alias("offset"), F.col("rep.lo").alias("lo"), (F.col("rep.hi") + length).alias("end"))
     per_text = asked.groupBy("doc", "same").agg(F.collect_list(F.struct("key", "context", "m", "times", "offset", "lo", "end")).alias("asked"))
     one = docs.select(F.col(id_column).alias("d"), F.xxhash64(text).alias("s"), F.col(text).cast("binary").alias("t")).where(F.length("t") >= length)
