@@ -16,6 +16,9 @@ from longitrack.session import ship
 #: Fixed values of the component cleanup and of the strict gap gate.
 MARGIN_LOW, MARGIN_HIGH, AREA_FLOOR, DISTANCE, RISK, SPLIT_PENALTY, MIN_SIDE = 0.10, 0.20, 0.45, 4.0, 1.50, 0.25, 2
 GAP, GAP_AREA, GAP_PROBABILITY, GAP_IOU, GAP_MARGIN = 2, 0.90, 0.80, 0.55, 0.20
+#: Fixed values of the growth veto and of the suffix gate.
+GROWTH_VETO = {"mahalanobis": 20.0, "residual": 2.5, "iou": (0.45, 0.60), "shifted_iou": (0.60, 0.80), "probability": (0.50, 0.65), "distortion": 0.05, "anchors": 0, "rank": 1}
+SUFFIX = {"length": 2, "probability": 0.80, "area": 0.80, "distance": 6.0, "shifted_iou": 0.30, "motion": 0.50, "shape": 0.82}
 
 
 def link_diagnostics(links: DataFrame, edge: list[str], row: str, column: str, similarity: str, threshold: float) -> DataFrame:
@@ -67,6 +70,68 @@ def first_failure(checks: list[tuple[str, Column]]) -> Column:
     return out
 
 
+def _within(x: Column, low: float | None = None, high: float | None = None) -> Column:
+    """x is a number and between the bounds that are given."""
+    ok = x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != float("inf"))
+    if low is not None:
+        ok = ok & (x >= low)
+    return ok if high is None else ok & (x <= high)
+
+
+def growth_veto_reason(n_sessions: int, gate: dict | None = None) -> Column:
+    """`accepted`, or the first reason why an edge is no growth veto; missing values fail.
+
+    Read from the columns edge_source, remove_reason, would_split_component, is_terminal_edge, is_last_session_edge,
+    complete_component_size, growth_anchor_count, growth_residual, growth_residual_mahalanobis, registered_iou,
+    shifted_iou, row_rank, column_rank, cell_probability_a, cell_probability_b and local_neighbor_distortion.
+    """
+    g = GROWTH_VETO | (gate or {})
+    c, number = F.col, lambda name: F.coalesce(F.col(name), F.lit(0))
+    pa, pb = c("cell_probability_a"), c("cell_probability_b")
+    checks = [
+        ("coherence_suffix_edge", F.coalesce(c("edge_source"), F.lit("")) != "suffix"),
+        ("not_splittable", c("remove_reason") == "split_edge"),
+        ("does_not_split_component", number("would_split_component") > 0),
+        ("not_terminal_edge", number("is_terminal_edge") > 0),
+        ("not_last_session_edge", number("is_last_session_edge") > 0),
+        ("not_complete_component", number("complete_component_size") >= n_sessions),
+        ("growth_anchor_count_below_gate", number("growth_anchor_count") >= g["anchors"]),
+        ("growth_residual_below_gate", _within(c("growth_residual"), g["residual"])),
+        ("growth_residual_mahalanobis_below_gate", _within(c("growth_residual_mahalanobis"), g["mahalanobis"])),
+        ("registered_iou_below_gate", _within(c("registered_iou"), g["iou"][0])),
+        ("shifted_iou_below_gate", _within(c("shifted_iou"), g["shifted_iou"][0])),
+        ("registered_iou_above_gate", _within(c("registered_iou"), high=g["iou"][1])),
+        ("shifted_iou_above_gate", _within(c("shifted_iou"), high=g["shifted_iou"][1])),
+        ("row_rank_above_gate", _within(c("row_rank"), 1, g["rank"])),
+        ("column_rank_above_gate", _within(c("column_rank"), 1, g["rank"])),
+        ("cell_probability_missing", _within(pa) & _within(pb)),
+        ("cell_probability_below_gate", F.least(pa, pb) >= g["probability"][0]),
+        ("min_cell_probability_above_gate", F.least(pa, pb) <= g["probability"][1]),
+        ("local_neighbor_distortion_above_gate", _within(c("local_neighbor_distortion"), high=g["distortion"])),
+    ]
+    return first_failure(checks)
+
+
+def suffix_gate(cell_probability: Column, area_ratio: Column, distance: Column, shifted_iou: Column, motion: Column, shape: Column, path_length: Column, gate: dict | None = None) -> Column:
+    """Whether a suffix may be stitched on: every bound of SUFFIX holds; missing values fail."""
+    g = SUFFIX | (gate or {})
+    lows = (("probability", cell_probability), ("area", area_ratio), ("shifted_iou", shifted_iou), ("motion", motion), ("shape", shape))
+    ok = _within(distance, high=g["distance"]) & (path_length == g["length"])
+    for name, x in lows:
+        ok = ok & _within(x, g[name])
+    return F.coalesce(ok, F.lit(False))
+
+
+def first_per_subject(rows: DataFrame, order: list[Column], limit: int = 1) -> DataFrame:
+    """The first rows of each subject in an explicit order: at most `limit` edits are made to one."""
+    return rows.withColumn("_k", F.row_number().over(Window.partitionBy("subject").orderBy(*order))).where(F.col("_k") <= limit).drop("_k")
+
+
+def teacher_vetoes(predicted_links: DataFrame, teacher_links: DataFrame, keys: list[str], weak: Column) -> DataFrame:
+    """Links that no teacher's link supports and that are weak: where tracks are to be split."""
+    return predicted_links.join(teacher_links.select(*keys).distinct(), keys, "left_anti").where(weak)
+
+
 def insert_edges(tracks: DataFrame, candidates: DataFrame, max_rounds: int = 1) -> DataFrame:
     """Extend tracks by candidate edges in order, per subject; again up to max_rounds or until nothing changes.
 
