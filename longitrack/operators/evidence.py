@@ -41,17 +41,18 @@ def shifted_overlaps(a: DataFrame, b: DataFrame, roi_a: str, roi_b: str, keys: l
     """
     square = F.sum(F.col("w") * F.col("w") * 1.0)
     left = a.withColumnRenamed("w", "w_a")
-    right = moved(b, shift_offsets(radius), shape).withColumnRenamed("w", "w_b")
+    right = moved(b, shift_offsets(radius), shape).withColumnRenamed("w", "w_b").drop("dy", "dx")
     area_a = a.groupBy(*keys, roi_a).agg(F.count(F.lit(1)).alias("area_a"), F.sqrt(square).alias("norm_a"))
     area_b = right.groupBy(*keys, roi_b, "rank").agg(F.count(F.lit(1)).alias("area_b"))
     norm_b = b.groupBy(*keys, roi_b).agg(F.sqrt(square).alias("norm_b"))
-    met = left.join(right, [*keys, "x", "y"]).groupBy(*keys, roi_a, roi_b, "rank", "dy", "dx").agg(F.count(F.lit(1)).alias("inter"), F.sum(F.col("w_a") * F.col("w_b") * 1.0).alias("dot"))
+    met = left.join(right, [*keys, "x", "y"]).groupBy(*keys, roi_a, roi_b, "rank").agg(F.count(F.lit(1)).alias("inter"), F.sum(F.col("w_a") * F.col("w_b") * 1.0).alias("dot"))
     c = met.join(area_a, [*keys, roi_a]).join(area_b, [*keys, roi_b, "rank"]).join(norm_b, [*keys, roi_b])
     iou = F.col("inter") / (F.col("area_a") + F.col("area_b") - F.col("inter"))
     cosine = F.col("dot") / F.greatest(F.col("norm_a") * F.col("norm_b"), F.lit(EPSILON))
-    best = F.max(F.struct(iou.alias("iou"), (-F.col("rank")).alias("first"), "dy", "dx"))
+    best = F.max(F.struct(iou.alias("iou"), (-F.col("rank")).alias("first")))
     out = c.groupBy(*keys, roi_a, roi_b).agg(best.alias("best"), F.max(cosine).alias("shifted_cosine"))
-    return out.select(*keys, roi_a, roi_b, F.col("best.iou").alias("shifted_iou"), F.col("best.dy").alias("shift_dy"), F.col("best.dx").alias("shift_dx"), "shifted_cosine")
+    dy, dx = (F.array(*(F.lit(o[i]) for o in shift_offsets(radius)))[-F.col("best.first")] for i in (0, 1))
+    return out.select(*keys, roi_a, roi_b, F.col("best.iou").alias("shifted_iou"), dy.alias("shift_dy"), dx.alias("shift_dx"), "shifted_cosine")
 
 
 def shift_penalty(dy: Column, dx: Column, scale: float = 1.0) -> Column:
