@@ -73,17 +73,17 @@ def dilated_iou(a: DataFrame, b: DataFrame, roi_a: str, roi_b: str, keys: list[s
 def outline_cost(a: DataFrame, b: DataFrame, pairs: DataFrame, roi_a: str, roi_b: str, scale: float, shape: tuple[int, int]) -> DataFrame:
     """Symmetric chamfer distance of each candidate pair: the mean way of a's pixels to b's and back, over twice the scale.
 
-    Steps cost 1, diagonal ones sqrt 2; an empty side is height plus width away. Rows are pixels of one side of
-    a pair; the other side is an array, which no support makes long.
+    Steps cost 1, diagonal ones sqrt 2; an empty side is height plus width away. The way to a support is worked out
+    once for each of the image's pixels that any partner has, then looked up by all pairs; a support is an array,
+    which no image makes long.
     """
 
     def one_way(own, roi, other, far):
         pack = other.groupBy(far).agg(F.collect_list(F.struct("x", "y")).alias("_q"))
-        t = F.explode("_q").alias("_t")
-        each = pairs.select(roi_a, roi_b).join(pack, far).join(own.select(roi, F.col("x").alias("_x"), F.col("y").alias("_y")), roi).select(roi_a, roi_b, "_x", "_y", t)
-        dx, dy = F.abs(F.col("_x") - F.col("_t.x")) * 1.0, F.abs(F.col("_y") - F.col("_t.y")) * 1.0
-        least = each.groupBy(roi_a, roi_b, "_x", "_y").agg(F.min(F.greatest(dx, dy) + (2**0.5 - 1) * F.least(dx, dy)).alias("_d"))
-        return least.groupBy(roi_a, roi_b).agg(F.avg("_d").alias(f"_{roi}"))
+        cells = pairs.select(roi_a, roi_b).join(own.select(roi, F.col("x").alias("_x"), F.col("y").alias("_y")), roi)
+        way = lambda q: F.greatest(F.abs(F.col("_x") - q["x"]), F.abs(F.col("_y") - q["y"])) + (2**0.5 - 1) * F.least(F.abs(F.col("_x") - q["x"]), F.abs(F.col("_y") - q["y"]))
+        field = cells.select(far, "_x", "_y").distinct().join(pack, far).select(far, "_x", "_y", F.array_min(F.transform("_q", way)).alias("_d"))
+        return cells.join(field, [far, "_x", "_y"]).groupBy(roi_a, roi_b).agg(F.avg("_d").alias(f"_{roi}"))
 
     both = pairs.join(one_way(a, roi_a, b, roi_b), [roi_a, roi_b], "left").join(one_way(b, roi_b, a, roi_a), [roi_a, roi_b], "left")
     cost = F.coalesce(0.5 * (F.col(f"_{roi_a}") + F.col(f"_{roi_b}")), F.lit(float(sum(shape)))) / scale
