@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from longitrack.operators import reports, tracks
+from longitrack.operators import descriptors, pairs, reports, tracks
 from longitrack.plans.catalog import _LEDGER, _RESULTS, _TRACKS, _results, _round, _table, _tracks, query
+from longitrack.plans.local import _PX, _SHAPE, _centres, _image
 
 _IDS = "array_to_string(list(roi ORDER BY session_index), ',') AS identity"
 _AUDIT = (
@@ -198,3 +199,57 @@ def track_planned_splits(spark, d):
     by = Window.partitionBy("track_id").orderBy("session_index")
     ahead = _tracks(spark, d, "predicted").withColumns({"session_b": F.lead("session_index").over(by), "next": F.lead("roi").over(by)}).where("session_b IS NOT NULL")
     return reports.planned_splits(ahead.select("track_id", F.col("session_index").alias("session_a"), "session_b", ((F.col("roi") * 7 + F.col("next") * 3) % 20 / 8.0).alias("risk")))
+
+
+# Descriptors: suppliers are ROIs over lines' quantity and discount, nations sessions.
+
+_COVARIANCES = """
+WITH m AS (SELECT s_nationkey AS g, l_suppkey AS roi, var_pop(l_quantity) + 1e-6 AS xx, var_pop(l_discount * 100) + 1e-6 AS yy, covar_pop(l_quantity, l_discount * 100) AS xy, count(*) AS area FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)
+"""
+
+
+def _covariances(spark, d):
+    p = _table(spark, d, "lineitem").select(F.col("l_suppkey").alias("roi"), F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"))
+    return pairs.moments(p, "roi").join(_table(spark, d, "supplier").select(F.col("s_suppkey").alias("roi"), F.col("s_nationkey").alias("g")), "roi")
+
+
+@query(
+    _COVARIANCES
+    + """, n AS (SELECT *, xx / greatest(xx + yy, 1e-6) AS p, yy / greatest(xx + yy, 1e-6) AS q, xy / greatest(xx + yy, 1e-6) AS r, greatest(xx * yy - xy * xy, 1e-6) AS det FROM m),
+c AS (SELECT a.roi AS roi_a, b.roi AS roi_b, sqrt((pow(a.p - b.p, 2) + pow(a.q - b.q, 2) + 2 * pow(a.r - b.r, 2)) / 2) AS cost, abs(ln(a.det / b.det)) AS logdet FROM n a JOIN n b ON a.g = b.g AND a.roi < b.roi)
+SELECT roi_a, roi_b, round(cost, 6) AS shape_cost, round(logdet, 6) AS logdet_cost, round(exp(-cost), 6) AS shape_similarity FROM c"""
+)
+def pair_covariance_costs(spark, d):
+    m = _covariances(spark, d)
+    side = lambda s: m.select("g", F.col("roi").alias(f"roi_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("cxx", "cyy", "cxy")))
+    both = side("a").join(side("b"), "g").where("roi_a < roi_b")
+    costs = descriptors.covariance_costs(*(tuple(F.col(f"{c}_{s}") for c in ("cxx", "cyy", "cxy")) for s in ("a", "b")))
+    return _round(both.select("roi_a", "roi_b", *(v.alias(k) for k, v in costs.items())), *costs)
+
+
+@query(_COVARIANCES + "SELECT g, round(greatest(1, 2 * sqrt(quantile_cont(area, 0.5) / pi())), 6) AS centroid_scale FROM m GROUP BY 1")
+def pair_centroid_scale(spark, d):
+    return _round(descriptors.centroid_scale(_covariances(spark, d), ["g"]), "centroid_scale")
+
+
+@query("SELECT user_id, count(value) AS n, round(avg(hour(ts)) / greatest(abs(avg(value)), 1e-6), 5) AS ratio FROM events GROUP BY 1")
+def activity_background_ratio(spark, d):
+    out = descriptors.background_ratio(_table(spark, d, "events").select("user_id", "value", F.hour("ts").alias("hour")), ["user_id"], "value", "hour")
+    return out.withColumn("ratio", F.round("ratio", 5))
+
+
+_BINS = ", ".join(f"round(coalesce(avg(CASE WHEN bin = {i} THEN 1.0 WHEN bin IS NOT NULL THEN 0.0 END), 0), 6) AS h{i}" for i in range(4))
+
+
+@query(
+    _PX
+    + f""", i AS (SELECT g, x, y, avg(price) AS v FROM li WHERE f = 'A' GROUP BY 1, 2, 3), sp AS (SELECT g, min(v) AS lo, max(v) AS hi, avg(v) AS mean FROM i GROUP BY 1),
+fu AS (SELECT sp.g, x, y, coalesce(v, mean) AS u, v, CASE WHEN v IS NULL THEN NULL WHEN hi > lo THEN least(floor((v - lo) / ((hi + 1e-12 - lo) / 4)), 3) ELSE 0 END AS bin FROM sp CROSS JOIN range(51) AS p(x) CROSS JOIN range(11) AS q(y) LEFT JOIN i USING (g, x, y)),
+gr AS (SELECT *, lag(u) OVER wx AS xa, lead(u) OVER wx AS xb, lag(u) OVER wy AS ya, lead(u) OVER wy AS yb FROM fu WINDOW wx AS (PARTITION BY g, y ORDER BY x), wy AS (PARTITION BY g, x ORDER BY y)),
+gg AS (SELECT g, x, y, v, bin, sqrt(pow(CASE WHEN xa IS NULL THEN xb - u WHEN xb IS NULL THEN u - xa ELSE (xb - xa) / 2 END, 2) + pow(CASE WHEN ya IS NULL THEN yb - u WHEN yb IS NULL THEN u - ya ELSE (yb - ya) / 2 END, 2)) AS gradient FROM gr)
+SELECT c.g, c.roi, round(avg(v), 3) AS mean, round(quantile_cont(v, 0.1), 3) AS p10, round(quantile_cont(v, 0.9), 3) AS p90, round(avg(gradient), 3) AS gradient, count(v) AS size, {_BINS}
+FROM ca c JOIN gg ON gg.g = c.g AND abs(gg.x - CAST(round_even(c.x, 0) AS BIGINT)) <= 2 AND abs(gg.y - CAST(round_even(c.y, 0) AS BIGINT)) <= 2 GROUP BY 1, 2"""
+)
+def roi_patch_descriptors(spark, d):
+    out = descriptors.patch_descriptors(_image(spark, d, "A"), _centres(spark, d, "A"), ["g"], 2, 4, _SHAPE)
+    return out.select("g", "roi", *(F.round(c, 3).alias(c) for c in ("mean", "p10", "p90", "gradient")), "size", *(F.round(F.col("histogram")[i], 6).alias(f"h{i}") for i in range(4)))
