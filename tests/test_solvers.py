@@ -41,6 +41,8 @@ def test_path_cover_without_pairs(spark):
     p = spark.createDataFrame([], "subject string, session_a int, session_b int, roi_a long, roi_b long, cost double")
     assert sorted((x.track_id, x.session_index) for x in solvers.path_cover(d, p).collect()) == [(0, 0), (1, 1)]
     assert solvers.path_cover(d.limit(0), p).count() == 0
+    other = spark.createDataFrame([("n", 0, 1, 1, 1, 0.5)], p.schema)
+    assert solvers.path_cover(d, other).count() == 2
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -69,6 +71,7 @@ def test_relink(spark):
     rows = [(0, 1, 1, 1, 3.0), (0, 1, 1, 5, 1.0), (0, 1, 1, 2, 0.1), (1, 2, 1, 1, 1.0), (1, 2, 5, 1, 1.5), (0, 1, 2, 2, 1.0), (0, 1, 2, 6, 0.9)]
     p = spark.createDataFrame([("m", *r) for r in rows], "subject string, session_a int, session_b int, roi_a long, roi_b long, cost double")
     got = {(x.track_id, x.session_index): (x.roi, x.relinked) for x in solvers.relink(t, p).collect()}
+    assert solvers.relink(t.limit(0), p).count() == 0
     # 5 saves 1.5 for the first track, whose cheapest ROI 2 is taken; 6 saves too little for the second.
     assert got == {(1, 0): (1, False), (1, 1): (5, True), (1, 2): (1, False), (2, 0): (2, False), (2, 1): (2, False), (3, 0): (3, False)}
 
@@ -119,3 +122,24 @@ def test_sign_p_value(spark):
 
     got = [x.p for x in df.select(reports.sign_p_value(F.col("k"), F.col("n")).alias("p")).collect()]
     assert got[3] is None and got[:3] == pytest.approx([1.0, 5 / 16, 1 / 16]) and got[4] == pytest.approx(0.028443966820490395)
+
+
+def test_scan_tracks_over_a_gap(spark):
+    seeds = spark.createDataFrame([("m", 1, 0, 1), ("m", 2, 0, 2)], "subject string, track_id long, session_index int, roi long")
+    # Greedily track 1 would take ROI 5, which track 2 needs more; track 2 is missing in session 1 and comes back.
+    rows = [(0, 1, 1, 5, 0.9), (0, 1, 1, 6, 0.8), (0, 1, 2, 5, 0.6), (1, 2, 5, 8, 1.0), (1, 2, 6, 7, 0.9), (0, 1, 1, 9, 0.1)]
+    pairs = spark.createDataFrame([("m", *r) for r in rows], "subject string, session_a int, session_b int, roi_a long, roi_b long, score double")
+    got = solvers.scan_tracks(seeds, pairs).collect()
+    assert {(r.track_id, r.session_index, r.roi) for r in got} == {(1, 0, 1), (1, 1, 6), (1, 2, 7), (2, 0, 2), (2, 1, 5), (2, 2, 8)}
+    assert got[0].total == pytest.approx(-0.8 - 0.6 - 1.0 - 0.9)
+    skip = spark.createDataFrame([("m", 0, 2, 2, 8, 2.0), ("m", 0, 1, 1, 5, 0.5)], pairs.schema)
+    got = solvers.scan_tracks(seeds, skip, max_gap=2).collect()
+    assert {(r.track_id, r.session_index, r.roi) for r in got} == {(1, 0, 1), (1, 1, 5), (2, 0, 2), (2, 2, 8)}
+    assert got[0].total == pytest.approx(-0.5 + 2.0 + 2.0 + 1.0 - 2.0)
+    assert solvers.scan_tracks(seeds, pairs.limit(0)).count() == 2 and solvers.scan_tracks(seeds.limit(0), pairs).count() == 0
+
+
+def test_chosen_edits(spark):
+    edits = spark.createDataFrame([("m", 1, 1.0, ["a", "b"]), ("m", 2, 0.8, ["a"]), ("m", 3, 0.8, ["b"]), ("m", 4, 0.2, ["c"])], "subject string, path_id long, score double, observations array<string>")
+    assert sorted(r.path_id for r in solvers.chosen_edits(edits, 0.3).collect()) == [2, 3]
+    assert [r.path_id for r in solvers.chosen_edits(edits, 0.7).collect()] == [1]
