@@ -29,7 +29,7 @@ PATTERNS = {
 #: What a text must hold for a pattern to be tried.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 CONTEXT = 80
-MIN_TOGETHER = 3
+MIN_TOGETHER = 1
 DISCLOSURE = 0.75
 TERM = r"[\p{L}\p{N}]+"
 _GAP = r"[^\p{L}\p{N}]+"

@@ -53,6 +53,17 @@ def test_terms_that_disclose(spark):
     assert clean[0] == "Write to [TERM] of the office at [EMAIL] the day 0 and more words" and clean[100] == rest[0][1]
 
 
+def terms_of(row, text):
+    return {text[int(a) : int(b)] for k, a, b in (x.split(":") for x in row.spans.split(",")) if k == "term"}
+
+
+def test_entities_of_one_document_have_terms(spark):
+    rows = [(0, "Write to Quuxley of the office at me@corp.org the day and more words")]
+    rows += [(100 + i, "the office of day has words and at times more to write of the same") for i in range(200)]
+    got = {r.doc_id: r for r in pii.found(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert terms_of(got[0], rows[0][1]) == {"Quuxley"} and all(got[i].spans == "" for i, _ in rows[1:])
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pii.found(docs).count() == 0 and pii.sanitised(docs).count() == 0
