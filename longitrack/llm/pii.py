@@ -2,7 +2,7 @@
 
 Masking an address does not protect it if a word next to it appears with no other. Over the corpus, how
 strongly a term reveals a protected entity is the share of the entity's information content, -log p(e),
-that their pointwise mutual information PMI(t; e) makes up; terms from the contexts of protected spans
+that their pointwise mutual information PMI(t; e) makes up; terms of the texts with protected spans
 whose share reaches the threshold are removed along with the spans, which are generalised to their kind.
 
 All is built from DataFrame functions. Positions come from splitting a text by a pattern: what stands
@@ -28,9 +28,10 @@ PATTERNS = {
 }
 #: What a text must hold for a pattern to be tried.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-CONTEXT = 80
 MIN_TOGETHER = 1
 DISCLOSURE = 0.75
+#: Numbers stand with anything by chance: of a term without a letter at most this many rows are expected with the entity.
+BY_CHANCE = 0.01
 TERM = r"[\p{L}\p{N}]+"
 _GAP = r"[^\p{L}\p{N}]+"
 
@@ -52,13 +53,12 @@ def _valid(kind: Column, s: Column) -> Column:
 
 
 def _matches(text: Column, kind: str) -> Column:
-    """Every match as a struct: kind, its number, characters since the last match, itself, what stands around."""
+    """Every match as a struct: kind, its number, characters since the last match, itself."""
     p = PATTERNS[kind]
     gaps, found = F.split(text, p, -1), F.regexp_extract_all(text, F.lit(p), F.lit(0))
 
     def one(s: Column, i: Column) -> Column:
-        before, after = F.get(gaps, i), F.get(gaps, i + 1)
-        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(before).alias("gap"), s.alias("s"), F.right(before, F.lit(CONTEXT)).alias("before"), F.left(after, F.lit(CONTEXT)).alias("after"), (F.length(after) > CONTEXT).alias("more"))
+        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(F.get(gaps, i)).alias("gap"), s.alias("s"))
 
     held = F.contains(text, F.lit(NEEDS[kind])) if NEEDS[kind] else F.lit(True)
     need = held if kind == "email" else held & F.regexp_like(text, F.lit("[0-9]"))
@@ -66,56 +66,60 @@ def _matches(text: Column, kind: str) -> Column:
 
 
 def _base(texts: DataFrame) -> DataFrame:
-    """(doc, same, kind, start, end, s, before, after, cut_before, cut_after) of the spans in (doc, same, t)."""
+    """(doc, same, kind, start, end, s) of the spans in (doc, same, t)."""
     found = F.flatten(F.filter(F.array(*(_matches(F.col("t"), k) for k in KINDS)), lambda a: a.isNotNull()))
     # rows that repeat id and text give the same matches once
     rows = texts.select("doc", "same", F.explode(found).alias("m")).select("doc", "same", "m.*").distinct()
     upto = Window.partitionBy("doc", "same", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.withColumn("end", F.sum(F.col("gap") + F.length("s")).over(upto)).withColumn("start", F.col("end") - F.length("s"))
-    return placed.where(_valid(F.col("kind"), F.col("s"))).select("doc", "same", "kind", "start", "end", "s", "before", "after", (F.col("gap") > CONTEXT).alias("cut_before"), F.col("more").alias("cut_after"))
+    return placed.where(_valid(F.col("kind"), F.col("s"))).select("doc", "same", "kind", "start", "end", "s")
 
 
-def _terms(context: Column, at: Column) -> Column:
-    """The terms of a short context that starts at `at`: (term, start, end)."""
-    low = F.lower(context)
-    gaps, found = F.split(low, TERM, -1), F.regexp_extract_all(low, F.lit(TERM), F.lit(0))
-    none = F.array().cast("array<struct<term:string,start:bigint,end:bigint>>")
+def _own(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """The texts (doc, same, t) of some rows (doc, same), once each."""
+    rows = rows.select(F.col("doc").alias("_doc"), F.col("same").alias("_same")).distinct()
+    return texts.join(rows, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("same") == F.col("_same")), "left_semi").dropDuplicates(["doc", "same"])
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.get(gaps, i))
-        end = start + F.length(F.get(found, i))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(F.get(found, i).alias("term"), start.alias("start"), end.alias("end")))).alias("out"))
 
-    many = F.size(found)
-    return F.when(many > 0, F.aggregate(F.sequence(F.lit(0), many - 1), F.struct(at.cast("long").alias("at"), none.alias("out")), step, lambda acc: acc["out"])).otherwise(none)
+def _places(texts: DataFrame) -> DataFrame:
+    """(doc, same, term, start, end) of every term of the texts."""
+    gaps, found = F.split("t", TERM, -1), F.regexp_extract_all("t", F.lit(TERM), F.lit(0))
+    each = F.transform(found, lambda s, i: F.struct(i.alias("i"), F.length(F.get(gaps, i)).alias("gap"), F.length(s).alias("n"), F.lower(s).alias("term")))
+    rows = texts.select("doc", "same", F.explode(each).alias("x")).select("doc", "same", "x.*")
+    upto = Window.partitionBy("doc", "same").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("end", F.sum(F.col("gap") + F.col("n")).over(upto)).select("doc", "same", "term", (F.col("end") - F.col("n")).alias("start"), "end")
 
 
 def disclosing(texts: DataFrame, base: DataFrame, min_together: int = MIN_TOGETHER, threshold: float = DISCLOSURE) -> DataFrame:
-    """(doc, same, start, end) of the terms around protected spans that disclose them.
+    """(doc, same, start, end) of every place of a term that discloses a protected span, in the texts that have the span.
 
-    A term counts with an entity in each row in whose contexts it stands, at least min_together of them. Its
-    frequency is counted over all rows of the corpus.
+    A term counts with an entity in each row whose text has both, at least min_together of them. Its frequency
+    is counted over all rows of the corpus.
     """
-    before, after = _terms(F.col("before"), F.col("start") - F.length("before")), _terms(F.col("after"), F.col("end"))
-    # words that the context's ends may have cut
-    before = F.when(F.col("cut_before"), F.slice(before, 2, CONTEXT)).otherwise(before)
-    after = F.when(F.col("cut_after"), F.slice(after, 1, F.greatest(F.size(after) - 1, F.lit(0)))).otherwise(after)
     entity = F.concat_ws(":", "kind", F.lower("s"))
-    around = base.select("doc", "same", entity.alias("entity"), F.explode(F.concat(before, after)).alias("x")).select("doc", "same", "entity", "x.*")
-    around = written(around.where(F.regexp_like("term", F.lit(r"\p{L}"))), "contexts")
+    holds = written(base.select("doc", "same", entity.alias("entity")).distinct(), "entities")
+    distinct = F.array_distinct(F.transform(F.split("t", _GAP), F.lower))
+    terms = written(_own(texts, holds).select("doc", "same", F.explode(distinct).alias("term")).where("term <> ''"), "terms")
+    often = texts.select(F.explode(distinct).alias("term")).join(small(terms.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    often = written(often, "often")
     # rows with their repeats: how many of the corpus have the entity, and the term with it
-    row = F.struct("doc", "same")
-    together = around.groupBy("entity", "term").agg(F.count_distinct(row).alias("n_te")).where(F.col("n_te") >= min_together)
-    entities = base.select(entity.alias("entity"), "doc", "same").groupBy("entity").agg(F.count_distinct(row).alias("n_e"))
-    asked = written(together.join(entities, "entity"), "together")
-    in_all = texts.select(F.explode(F.array_distinct(F.split(F.lower("t"), _GAP))).alias("term"))
-    often = in_all.join(small(asked.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    entities = holds.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     n = F.lit(float(max(1, texts.count())))
+    left = holds.join(entities, "entity").withColumnsRenamed({"doc": "_doc", "same": "_same"})
+    both = left.join(terms.join(often, "term"), F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("same") == F.col("_same")))
+    # a term more frequent than this has too small a share even if all rows of the entity have it
+    both = both.where(F.col("n_t") <= F.col("n_e") * F.pow(n / F.col("n_e"), 1 - threshold) * (1 + 1e-9))
+    both = both.where(F.regexp_like("term", F.lit(r"\p{L}")) | (F.col("n_t") * F.col("n_e") <= BY_CHANCE * n))
+    both = written(both.select("doc", "same", "entity", "term", "n_e", "n_t"), "together")
+    asked = both.groupBy("entity", "term", "n_e", "n_t").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= min_together)
     # PMI(t; e) / -log p(e), both in nats; repeated rows can make n_t larger than the rows counted, never smaller
     pmi = F.log(n * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
     share = F.when(n > F.col("n_e"), pmi / F.log(n / F.col("n_e"))).otherwise(F.lit(0.0))
-    flagged = asked.join(often, "term").where(share >= threshold).select("entity", "term")
-    return around.join(small(written(flagged, "disclosing")), ["entity", "term"], "left_semi").select("doc", "same", "start", "end").distinct()
+    flagged = asked.where(share >= threshold).select("entity", "term")
+    marked = written(both.join(flagged, ["entity", "term"], "left_semi").select("doc", "same", "term").distinct(), "disclosing")
+    places = _places(_own(texts, marked)).withColumnsRenamed({"doc": "_doc", "same": "_same", "term": "_term"})
+    on = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("same") == F.col("_same")) & (F.col("term") == F.col("_term"))
+    return places.join(marked, on).select("doc", "same", "start", "end")
 
 
 def spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:

@@ -64,6 +64,18 @@ def test_entities_of_one_document_have_terms(spark):
     assert terms_of(got[0], rows[0][1]) == {"Quuxley"} and all(got[i].spans == "" for i, _ in rows[1:])
 
 
+def test_terms_of_the_whole_text_are_found_and_removed_everywhere(spark):
+    far = "many words of the same office and more to write " * 5
+    rows = [(i, f"Zorblax {far} case 77001234 at boss@corp.org the day {far} ZORBLAX and more") for i in range(2)]
+    rows += [(100 + i, f"the office of day has words and at times case {i} {far}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.found(docs).collect()}
+    for i, t in rows[:2]:
+        assert terms_of(got[i], t) == {"Zorblax", "ZORBLAX", "77001234"}
+    assert all(got[i].spans == "" for i, _ in rows[2:])
+    assert "zorblax" not in pii.sanitised(docs).where("doc_id = 0").collect()[0].text.lower()
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pii.found(docs).count() == 0 and pii.sanitised(docs).count() == 0
