@@ -30,10 +30,15 @@ DIGESTS = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-
 VOCABULARY = os.environ.get("TIKTOKEN_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: The pattern by which that vocabulary splits text before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MIN_CHARS = 20
+MIN_CHARS = 12
+#: Shorter strings in the form of a word (letters in lower case, upper case or capitalised) are taken for words, which rare languages cut as short.
+WORD_CHARS = 20
 MAX_CHARS_PER_TOKEN = 2.0
 
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_CHARS)
+_CANDIDATE = re.compile(r"""[^\s"'`<>]{%d,}""" % MIN_CHARS)
+_PART = re.compile(r"[^/=:,;&?|()\[\]{}\\]{%d,}" % MIN_CHARS)
+#: A digest or identifier within a longer string.
+_KNOWN = re.compile(r"(?<![A-Za-z0-9])" + DIGESTS.pattern + r"(?![A-Za-z0-9])")
 _encoders: dict[str, object] = {}
 
 
@@ -62,15 +67,30 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def random_spans(text: str, covered: list[tuple[int, int, str]], encoder, max_ratio: float) -> list[tuple[int, int, str]]:
-    """Strings of MIN_CHARS or more with at most max_ratio characters per token, outside covered spans."""
+    """Strings of MIN_CHARS or more with at most max_ratio characters per token, outside covered spans.
+
+    Strings end at white space, quotes, covered spans and digests. One that is not random as a whole is tried part by
+    part between delimiters. Those without a letter are numbers or rules.
+    """
     out = []
+
+    def random(s: str) -> bool:
+        inner = "".join(filter(str.isalnum, s))
+        if len(s) < WORD_CHARS and inner.isalpha() and (inner.islower() or inner.isupper() or inner.istitle()):
+            return False
+        return any(c.isalpha() for c in s) and len(s) <= max_ratio * len(encoder.encode_ordinary(s))
+
     for m in _CANDIDATE.finditer(text):
-        s = m[0]
-        mixed = any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
-        if not mixed or DIGESTS.fullmatch(s) or any(a < m.end() and m.start() < b for a, b, _ in covered):
-            continue
-        if len(s) <= max_ratio * len(encoder.encode_ordinary(s)):
-            out.append((m.start(), m.end(), "random"))
+        cuts = [(max(a, m.start()), min(b, m.end())) for a, b, _ in covered if a < m.end() and m.start() < b]
+        cuts += [(m.start() + x.start(), m.start() + x.end()) for x in _KNOWN.finditer(m[0])]
+        at = m.start()
+        for a, b in [*sorted(cuts), (m.end(), m.end())]:
+            if a - at >= MIN_CHARS:
+                if random(text[at:a]):
+                    out.append((at, a, "random"))
+                else:
+                    out += [(x.start(), x.end(), "random") for x in _PART.finditer(text, at, a) if x.end() - x.start() < a - at and random(x[0])]
+            at = max(at, b)
     return out
 
 

@@ -81,3 +81,12 @@ def test_random_strings_but_no_digests_or_words(spark):
     rows = secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
     assert [r.secrets["spans"] for r in rows] == [f"random:4:{4 + len(key)}", "", "", "", ""]
     assert secrets.without_secrets(spark.createDataFrame([(1, None), (2, "password=abcdef1")], "doc_id long, text string")).collect()[0].doc_id == 1
+
+
+def test_random_strings_of_letters_short_ones_passwords_and_uncovered_parts(spark):
+    letters, short, password, rest = "xKfQzmZvLpRqtYwBnsHdJc", "q7Zx9Kv2Lm4T", "v!K9@z#Q$x%7.~wJp", "Zk3VqX9mPw2RtL8sYb5NcJ7hGd4FxK6vQz1MnB0T"
+    path = "/" + "deadbeef" * 3 + "/" + rest
+    texts = [f"see {x} here" for x in (letters, short, password)] + [path, "SHA256:" + hashlib.sha256(b"x").hexdigest().upper(), "2024-01-01/12345678901234567890", "Schpfgegebeunger ENKEITLICHLICH!! uneouvieauch"]
+    rows = secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    got = [[texts[i][int(a) : int(b)].strip("/") for k, a, b in (x.split(":") for x in r.secrets["spans"].split(",") if x) if k == "random"] for i, r in enumerate(rows)]
+    assert got == [[letters], [short], [password], [rest], [], [], []]
