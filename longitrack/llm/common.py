@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
-#: A side is broadcast only if it was counted and has no more rows than this.
+#: A side is broadcast only if it was measured and has no more rows and bytes than this.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +69,16 @@ def short_batches(spark: SparkSession, rows: int = 1000):
         spark.conf.set(key, before)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcasting if a count proves it to have at most `rows` rows; else as it is."""
-    return F.broadcast(df) if df.count() <= rows else df
+def _row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes; arrays count 16 for each element."""
+    size = F.lit(0)
+    for f in df.schema.fields:
+        kind, own = f.dataType.typeName(), F.col(f"`{f.name}`")
+        size = size + F.lit(8) + (F.coalesce(F.octet_length(own), F.lit(0)) if kind in ("string", "binary") else 16 * F.greatest(F.size(own), F.lit(0)) if kind == "array" else F.lit(16))
+    return size
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df, marked for broadcasting if it was measured to have at most `rows` rows and `size` bytes; else as it is."""
+    n, held = df.agg(F.count(F.lit(1)), F.sum(_row_bytes(df))).first()
+    return F.broadcast(df) if n <= rows and (held or 0) <= size else df

@@ -47,6 +47,16 @@ def test_all_windows(spark, alphabet, length, gram, group):
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got)
 
 
+@pytest.mark.parametrize("group", [2, 1000])
+def test_what_is_noticed_but_stays(spark, group):
+    rows = corpus(5 + group, "abcdefgh ", 60)
+    docs = spark.createDataFrame([(i, t, [1], "x", b"") for i, t in rows], "doc_id long, text string, spans array<int>, same string, t binary")
+    got = substrings.deduplicated(docs, length=60, noticed=35, gram=12, group=group).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute(rows, 60)
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_repeated) for r in got) == sorted(x[:3] for x in brute(rows, 35))
+    assert any(r.n_repeated > r.n_removed > 0 for r in got)
+
+
 def test_long_texts_are_cut_without_loss(monkeypatch):
     raw = bytes(np.random.default_rng(1).integers(97, 100, 5000, dtype=np.uint8))
     whole = substrings.anchors(raw, 60, 12)
