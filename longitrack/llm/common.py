@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -57,6 +58,12 @@ def remove(df: DataFrame) -> None:
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark drop the shuffle files of finished jobs now; it does so when the driver collects garbage, at times its own cleaner sets."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextlib.contextmanager
 def short_batches(spark: SparkSession, rows: int = 1000):
     """Within it, Arrow batches hold fewer rows: long texts then take little memory at a time."""

@@ -35,7 +35,8 @@ LENGTH = 400
 #: About 50 words: the length from which repeats are counted, though only those of LENGTH are removed.
 NOTICED = 256
 GRAM = 48
-GROUP = 1000
+#: Different contexts of a k-gram that are indexed in one task: at most 8000 * 752 bytes.
+GROUP = 8000
 _PIECE = 1 << 20
 _POS = np.uint64((1 << 24) - 1)
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
