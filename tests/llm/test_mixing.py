@@ -66,8 +66,63 @@ def test_permutations_and_slots(spark):
     times = Counter(r.block for r in slots if r.no == 0)
     assert set(times) == set(range(100)) and set(times.values()) == {2, 3} and sum(r.words for r in slots if r.no == 0) == 25_000
     assert [(r.block, r.words) for r in slots if r.no == 1] == [(0, 30)]
-    shards = Counter(r.shard for r in slots)
-    assert len(shards) == 6 and min(shards.values()) > 20
+    assert Counter(r.shard for r in slots) == {0: 50, 1: 50, 2: 50, 3: 50, 4: 50, 5: 1}
+
+
+def test_draws_are_multinomial_and_totals_the_targets(spark):
+    goals = spark.createDataFrame([(f"s{i}", i, 100 * n, 100.0 * n) for i, n in enumerate((20_000, 15_000, 5_000, 1, 0))], "source string, no int, source_size long, target double")
+    due = {r.no: r.n for r in mixing.allotted(goals, 100).collect()}
+    assert due == {0: 20_000, 1: 15_000, 2: 5_000, 3: 1}
+    counts = defaultdict(int, {(r.shard, r.no): r["count"] for r in mixing.drawn(mixing.allotted(goals, 100), 100).collect()})
+    total = sum(due.values())
+    for no, n in due.items():
+        p = n / total
+        each = [counts[k, no] for k in range(400)]
+        mean = sum(each) / 400
+        assert abs(mean - 100 * p) < 5 * (100 * p * (1 - p) / 400) ** 0.5 + 1e-9
+        if no < 3:
+            assert 0.7 < sum((x - mean) ** 2 for x in each) / 399 / (100 * p * (1 - p)) < 1.4
+    assert all(sum(counts[k, no] for no in due) == 100 for k in range(400))
+    got = mixing.slots(goals, 100, 100).collect()
+    # every slot of every source once, each block once, and shards as full as they were drawn
+    assert Counter((r.no, r.slot) for r in got) == {(no, j): 1 for no, n in due.items() for j in range(n)}
+    assert Counter((r.no, r.block) for r in got) == {(no, j): 1 for no, n in due.items() for j in range(n)}
+    assert Counter(r.shard for r in got) == {k: 100 for k in range(400)} | {400: 1}
+    moved = sum(max(0, counts[k, no] - n) for (k, no), n in Counter((r.shard, r.no) for r in got).items())
+    assert moved <= 2 * total**0.5
+
+
+def plain_mix(spark, data, goals, block, seed):
+    """taken by (id, source, size, copy) in plain Python, from the slots and the order of documents alone."""
+    texts = [(i, s, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for i, s, t in data]
+    ids = spark.createDataFrame([(i,) for i in {i for i, _, _ in texts}], "i long").select("i", F.xxhash64(F.lit(seed), "i").alias("h")).collect()
+    h = {r.i: r.h for r in ids}
+    groups = max(1, int(len(texts) ** 0.5))
+    out = Counter()
+    slots = mixing.slots(spark.createDataFrame(goals, "source string, no int, source_size long, target double"), block, seed=seed).collect()
+    for g in goals:
+        mine = sorted((x for x in texts if x[1] == g.source), key=lambda x: (h[x[0]] % groups, h[x[0]], x[0] is not None, x[0] or 0, x[2]))
+        stream = [k for k, x in enumerate(mine) for _ in range(x[2])]
+        got = Counter()
+        for r in slots:
+            if r.no == g.no:
+                got.update(stream[r.block * block : r.block * block + min(block, r.words)])
+        out.update((mine[k][0], g.source_size, mine[k][2], got[k]) for k in range(len(mine)))
+    return out
+
+
+def test_taken_equals_plain_python(spark):
+    data = rows(3)
+    docs = spark.createDataFrame([(i, s, t) for i, s, t in data], "doc_id long, source string, text string")
+    goals = mixing.targets(mixing.counted(docs, "doc_id", "source", "text")).collect()
+    want = plain_mix(spark, data, goals, 64, 7)
+    got = Counter((r.doc_id, r.source_size, r["size"], r.taken) for r in mixing.mix(docs, block=64, seed=7).collect())
+    assert got == want
+    held = Counter()
+    for r in mixing.shards(docs, block=64, seed=7, shard_slots=16).collect():
+        assert 0 <= r.start < r.end
+        held[r.doc_id] += r.end - r.start
+    assert held == Counter({i: n for i in {w[0] for w in want} if (n := sum(k[3] * c for k, c in want.items() if k[0] == i))})
 
 
 def test_empty(spark):
