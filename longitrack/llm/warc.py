@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longitrack.llm.common import small, written
+from longitrack.llm.common import short_batches, small, written
 from longitrack.session import ship
 
 VERSION = b"WARC/1.1"
@@ -101,7 +101,8 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
             yield pa.RecordBatch.from_arrays([pa.array([r for i, u, p, t in rows for r in records(i, u, p or b"", base32_sha1(p or b""), t, segment)], pa.binary())], names=["value"])
 
     ready = pages.select("record_id", "uri", "payload", "refers_to").mapInArrow(build, "value binary")
-    ready.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
+    with short_batches(pages.sparkSession):
+        ready.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
 _PARSED = "record_id string, type string, uri string, digest string, refers_to string, segment int, total long, block binary"
@@ -142,7 +143,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     """(record_id, uri, record_type, payload_bytes, payload_digest, refers_to, payload) of the responses and revisits below path.
 
     Only segmented records are shuffled, by origin; a group is one record. Missing segments, lengths that do not
-    add up, cut chunks and wrong digests stop the read. Without payloads the column is left null.
+    add up, cut chunks and wrong digests stop the read; equal records under one id are read as often as they are there. Without payloads the column is left null.
     """
     ship(spark)
 
@@ -167,9 +168,14 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     parts = parsed.where("segment IS NOT NULL").groupBy("record_id").agg(
         F.max("type").alias("type"), F.max("uri").alias("uri"), F.max("digest").alias("digest"), F.max("refers_to").alias("refers_to"), F.max("total").alias("total"), F.count(F.lit(1)).alias("n"), F.max("segment").alias("last"), F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("s")
     )
+    # a record that is there several times, with one id, has each segment as often
+    same = lambda x, i: (i > 0) & (F.get("s", i - 1)["segment"] == x["segment"])
+    parts = parts.withColumn("differ", F.exists(F.transform("s", lambda x, i: same(x, i) & (F.get("s", i - 1)["block"] != x["block"])), lambda x: x))
+    parts = parts.withColumn("s", F.filter("s", lambda x, i: ~same(x, i))).withColumn("times", F.expr("n DIV last"))
     block = F.aggregate("s", F.lit(b"").cast("binary"), lambda acc, x: F.concat(acc, x["block"]))
-    sound = (F.col("n") == F.col("last")) & (F.length("block") == F.col("total"))
+    sound = ~F.col("differ") & (F.size("s") == F.col("last")) & (F.col("n") == F.col("times") * F.col("last")) & (F.length("block") == F.col("total"))
     joined = parts.withColumn("block", block).withColumn("block", F.when(F.coalesce(sound, F.lit(False)), F.col("block")).otherwise(F.raise_error(F.concat(F.lit("segments are missing or do not add up: "), "record_id")).cast("binary")))
+    joined = joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest("times", F.lit(1).cast("long")))))
     again = joined.select("record_id", "type", "uri", "digest", "refers_to", "block").mapInArrow(decode, shape)
     return whole.unionByName(again)
 
