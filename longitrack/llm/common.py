@@ -30,10 +30,12 @@ def words(text: Column) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share.
 
-    Only where the session names none (tests, local use) a temporary one is set.
+    Where the session names none, a local one (tests) gets a temporary folder; on a cluster that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -58,6 +60,29 @@ def remove(df: DataFrame) -> None:
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or name with underscores after it, such that no column of df is called so in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def spread_join(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner", least: int = 1000, keys: int = 100_000) -> DataFrame:
+    """rows.join(lookup, key, how), without a task that takes all rows of a frequent key; lookup has one row a key.
+
+    A key is frequent if it has over `least` rows and over one `keys`-th of all, so there are never more than `keys` of
+    them, and their part of lookup is broadcast.
+    """
+    n = rows.count()
+    hot = written(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max(least, n // keys)).select(key), "hot")
+    if hot.isEmpty():
+        return rows.join(lookup, key, how)
+    of_hot = F.broadcast(written(lookup.join(F.broadcast(hot), key, "left_semi"), "hot-lookup"))
+    some = rows.join(F.broadcast(hot), key, "left_semi").join(of_hot, key, how)
+    return some.unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(lookup, key, how))
+
+
 def release(spark: SparkSession) -> None:
     """Have Spark drop the shuffle files of finished jobs now; it does so when the driver collects garbage, at times its own cleaner sets."""
     gc.collect()

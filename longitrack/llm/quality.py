@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from longitrack.llm.common import unused
 from longitrack.session import ship
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
@@ -114,7 +115,5 @@ def ablation(judged: DataFrame, policy: str, column: str = LEDGER) -> DataFrame:
 
 def keep(docs: DataFrame, policy: str = "v1", text: str = "text") -> DataFrame:
     """The documents that a policy keeps, with their own columns."""
-    held = "_ledger"
-    while held in docs.columns:
-        held += "_"
+    held = unused(docs, "_ledger")
     return ledger(docs, text, held).where(passes(policy, F.col(held)["failures"])).select(*(F.col(f"`{c}`") for c in docs.columns))

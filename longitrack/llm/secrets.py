@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from longitrack.llm.common import unused
 from longitrack.session import ship
 
 #: Fixed patterns. Letters of the first in either case.
@@ -35,7 +36,8 @@ MIN_CHARS = 12
 WORD_CHARS = 20
 MAX_CHARS_PER_TOKEN = 2.0
 
-_CANDIDATE = re.compile(r"""[^\s"'`<>]{%d,}""" % MIN_CHARS)
+#: Printable ASCII but quotes and angle brackets. Keys are ASCII; words of other letters take several tokens each and are no sign of one.
+_CANDIDATE = re.compile(r"[!#-&(-;=?-_a-~]{%d,}" % MIN_CHARS)
 _PART = re.compile(r"[^/=:,;&?|()\[\]{}\\]{%d,}" % MIN_CHARS)
 #: A digest or identifier within a longer string.
 _KNOWN = re.compile(r"(?<![A-Za-z0-9])" + DIGESTS.pattern + r"(?![A-Za-z0-9])")
@@ -69,7 +71,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def random_spans(text: str, covered: list[tuple[int, int, str]], encoder, max_ratio: float) -> list[tuple[int, int, str]]:
     """Strings of MIN_CHARS or more with at most max_ratio characters per token, outside covered spans.
 
-    Strings end at white space, quotes, covered spans and digests. One that is not random as a whole is tried part by
+    Strings end at white space, quotes, letters that are not ASCII, covered spans and digests. One that is not random as a whole is tried part by
     part between delimiters. Those without a letter are numbers or rules.
     """
     out = []
@@ -131,7 +133,5 @@ def find_secrets(docs: DataFrame, text: str = "text", column: str = "secrets", *
 
 def without_secrets(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents in which nothing was found, with their own columns."""
-    held = "_secrets"
-    while held in docs.columns:
-        held += "_"
+    held = unused(docs, "_secrets")
     return find_secrets(docs, text, held, **options).where(F.col(held)["spans"] == "").select(*(F.col(f"`{c}`") for c in docs.columns))

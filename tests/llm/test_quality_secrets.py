@@ -90,3 +90,10 @@ def test_random_strings_of_letters_short_ones_passwords_and_uncovered_parts(spar
     rows = secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
     got = [[texts[i][int(a) : int(b)].strip("/") for k, a, b in (x.split(":") for x in r.secrets["spans"].split(",") if x) if k == "random"] for i, r in enumerate(rows)]
     assert got == [[letters], [short], [password], [rest], [], [], []]
+
+
+def test_words_of_other_alphabets_are_no_secrets():
+    encoder = secrets._encoder(open(secrets.VOCABULARY, "rb").read())
+    for text in ("ciónciónosdoasciónja", "достопримечательности-превысокомногорассмотрительствующий", "機械学習のための大規模な文書集合を作成する方法について"):
+        assert secrets.random_spans(text, [], encoder, secrets.MAX_CHARS_PER_TOKEN) == []
+    assert secrets.random_spans("ключ Xq7zP0vLw2KjTn84RbYc", [], encoder, secrets.MAX_CHARS_PER_TOKEN) == [(5, 25, "random")]
