@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from longitrack.llm.common import small, words, written
+from longitrack.llm.common import small, unused, words, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -94,5 +94,6 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
 def decontaminated(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
     """The documents that contain no item, with their own columns; all rows of a contaminated id go."""
-    bad = contaminated(docs, items, id_column=id_column, **options).select(F.col(id_column).alias("_bad")).distinct()
-    return docs.join(small(written(bad, "contaminated")), docs[id_column].eqNullSafe(F.col("_bad")), "left_anti")
+    name = unused(docs, "_bad")
+    bad = contaminated(docs, items, id_column=id_column, **options).select(F.col(id_column).alias(name)).distinct()
+    return docs.join(small(written(bad, "contaminated")), docs[id_column].eqNullSafe(F.col(name)), "left_anti")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from longitrack.llm.common import small, written
+from longitrack.llm.common import small, unused, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: The fixed patterns, written so that a failed match is not tried again from inside it (possessive
@@ -166,9 +166,10 @@ def sanitised(docs: DataFrame, id_column: str = "doc_id", text: str = "text") ->
     _, all_spans = spans(docs, id_column, text)
     order = Window.partitionBy("doc", "same").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
     apart = all_spans.withColumn("ended", F.max("end").over(order)).where("ended IS NULL OR ended <= start")
-    cuts = apart.groupBy("doc", "same").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("_cuts")).withColumnsRenamed({"doc": "_doc", "same": "_same"})
-    joined = docs.join(cuts, docs[id_column].eqNullSafe(F.col("_doc")) & (F.xxhash64(docs[text]) == F.col("_same")), "left")
-    c, t = F.col("_cuts"), docs[text]
+    doc, same, held = (unused(docs, x) for x in ("_doc", "_same", "_cuts"))
+    cuts = apart.groupBy("doc", "same").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias(held)).withColumnsRenamed({"doc": doc, "same": same})
+    joined = docs.join(cuts, docs[id_column].eqNullSafe(F.col(doc)) & (F.xxhash64(docs[text]) == F.col(same)), "left")
+    c, t = F.col(held), docs[text]
     since = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(c, i - 1)["end"]).cast("int")
     pieces = F.transform(c, lambda x, i: F.concat(F.substring(t, since(i) + 1, x["start"].cast("int") - since(i)), F.lit("["), F.upper(x["kind"]), F.lit("]")))
     tail = F.substring(t, F.element_at(c, -1)["end"].cast("int") + 1, F.length(t))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from longitrack.llm.common import short_batches, small, written
+from longitrack.llm.common import short_batches, small, spread_join, unused, written
 from longitrack.llm.components import connected_components
 from longitrack.session import ship
 
@@ -123,7 +123,8 @@ def _components(docs: DataFrame, id_column: str, text: str, pairs_up_to: int) ->
         rows = written(texts.mapInArrow(_of_batches, "id long, same long, fp long"), "fingerprints")
     fps = rows.select("fp").distinct()
     parts = connected_components(written(links(fps, pairs_up_to), "links"))
-    return written(rows.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("id", "same", "fp", F.coalesce("component", "fp").alias("component")), "components")
+    placed = spread_join(rows, parts.withColumnRenamed("node", "fp"), "fp", "left")
+    return written(placed.select("id", "same", "fp", F.coalesce("component", "fp").alias("component")), "components")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", pairs_up_to: int = PAIRS_UP_TO) -> DataFrame:
@@ -134,8 +135,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     least that is not null; a component of null ids alone has a null id. Other columns are not read.
     """
     rows = _components(docs, id_column, text, pairs_up_to)
-    ids = rows.groupBy("component").agg(F.min("id").alias("component_id"))
-    return rows.join(ids, "component").select(F.col("id").alias(id_column), "fp", "component_id")
+    ids = written(rows.groupBy("component").agg(F.min("id").alias("component_id")), "component-ids")
+    return spread_join(rows, ids, "component").select(F.col("id").alias(id_column), "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text", pairs_up_to: int = PAIRS_UP_TO) -> DataFrame:
@@ -146,15 +147,18 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     """
     rows = _components(docs, id_column, text, pairs_up_to)
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "same")).alias("k")).select("component", F.col("k.id").alias("k_id"), F.col("k.same").alias("k_same"))
-    keys = rows.groupBy("id", "same", "component").agg(F.count(F.lit(1)).alias("n")).join(first, "component")
+    keys = written(rows.groupBy("id", "same", "component").agg(F.count(F.lit(1)).alias("n")), "texts")
+    keys = spread_join(keys, written(first, "first"), "component")
+    k_id, k_same = unused(docs, "_id"), unused(docs, "_same")
+    named = lambda df: df.select(F.col("id").alias(k_id), F.col("same").alias(k_same))
     is_first = F.col("id").eqNullSafe(F.col("k_id")) & (F.col("same") == F.col("k_same"))
-    gone = small(written(keys.where(~is_first).select(F.col("id").alias("_id"), F.col("same").alias("_same")), "gone"))
-    repeated = small(written(keys.where(is_first & (F.col("n") > 1)).select(F.col("id").alias("_id"), F.col("same").alias("_same")), "repeated"))
-    alike = docs[id_column].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text]) == F.col("_same"))
+    gone = small(written(named(keys.where(~is_first)), "gone"))
+    repeated = small(written(named(keys.where(is_first & (F.col("n") > 1))), "repeated"))
+    alike = docs[id_column].cast("long").eqNullSafe(F.col(k_id)) & (F.xxhash64(docs[text]) == F.col(k_same))
     kept = docs.join(gone, alike, "left_anti")
     if repeated.isEmpty():
         return kept
-    one = docs.join(repeated, alike, "left_semi").withColumn("_same", F.xxhash64(text)).dropDuplicates([id_column, "_same"]).drop("_same")
+    one = docs.join(repeated, alike, "left_semi").withColumn(k_same, F.xxhash64(docs[text])).dropDuplicates([id_column, k_same]).drop(k_same)
     return kept.join(repeated, alike, "left_anti").unionByName(one)
 
 

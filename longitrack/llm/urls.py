@@ -22,7 +22,6 @@ RULES = [
 ]
 DAMPING = 0.85
 TOLERANCE = 1e-6
-ROUNDS = 60
 #: A host is blocked if its distrust is above its trust and at least that of a host without links, half of whose pages are blocked.
 THRESHOLD = 0.5 * (1 - DAMPING)
 #: Hosts in a page's absolute links.
@@ -69,27 +68,29 @@ def host_edges(pages: DataFrame, html: str = "html") -> DataFrame:
     return found.select("src", lower_ascii(F.col("dst")).alias("dst")).where("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, trust, distrust): score = (1 - damping) * seed + damping * inflow, trust forwards, distrust backwards.
 
     seeds: (host, trust, distrust) between 0 and 1. Scores of a host without outflow are not passed on.
-    Every round is written to the shared folder; at most `rounds`, or until none moves by tolerance.
+    Every round is written to the shared folder, until no score moves by tolerance: each round's moves add up to at most
+    `damping` times those of the one before, so that ends.
     """
+    if not 0 <= damping < 1:
+        raise ValueError("damping must be at least 0 and below 1")
     flow = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("u"), F.col("dst").alias("v"), "n").unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("u"), F.col("src").alias("v"), "n"))
     out = flow.groupBy("kind", "u").agg(F.sum("n").alias("total"))
     flow = written(flow.join(out, ["kind", "u"]).select("kind", "u", "v", (F.col("n") / F.col("total")).alias("share")), "flow")
     start = seeds.select("host", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("seed")) for k in ("trust", "distrust")))).alias("s")).select("host", "s.kind", "s.seed")
     known = start.unionByName(flow.select(F.col("v").alias("host"), "kind", F.lit(0.0).alias("seed"))).groupBy("host", "kind").agg(F.max("seed").alias("seed"))
     now = written(known.withColumn("score", F.col("seed") * (1 - damping)), "scores")
-    for _ in range(rounds):
+    moved = tolerance
+    while moved >= tolerance:
         inflow = now.where("score > 0").join(flow, (F.col("host") == F.col("u")) & (now["kind"] == flow["kind"])).groupBy(F.col("v").alias("host"), flow["kind"]).agg(F.sum(F.col("score") * F.col("share")).alias("inflow"))
         after = now.withColumnRenamed("score", "was").join(inflow, ["host", "kind"], "left").select("host", "kind", "seed", "was", (F.col("seed") * (1 - damping) + damping * F.coalesce("inflow", F.lit(0.0))).alias("score"))
         after = written(after, "scores")
         remove(now)
         moved = after.agg(F.max(F.abs(F.col("score") - F.col("was")))).first()[0] or 0.0
         now = after.drop("was")
-        if moved < tolerance:
-            break
     score = lambda k: F.coalesce(F.max(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)).alias(k)
     return now.groupBy("host").agg(score("trust"), score("distrust"))
 
