@@ -49,6 +49,12 @@ def absence_costs(rois: DataFrame, session: list[str], weights: dict | None = No
     return rois.withColumn("_scale", scale).withColumn("absence_cost", F.greatest(cost, F.lit(w["least"]))).drop("_scale")
 
 
+def absence_summary(rois: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group: ROIs, and mean, median, least and largest absence_cost."""
+    c = "absence_cost"
+    return rois.groupBy(*keys).agg(F.count(c).alias("n"), F.avg(c).alias(f"mean_{c}"), F.median(c).alias(f"median_{c}"), F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}"))
+
+
 def gap_penalty(session_gap: Column, absence_a: Column, absence_b: Column) -> Column:
     """(gap - 1) times the mean absence cost of both ends."""
     return (session_gap - 1) * 0.5 * (absence_a + absence_b)
