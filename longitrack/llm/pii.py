@@ -55,14 +55,15 @@ def _valid(kind: Column, s: Column) -> Column:
 def _matches(text: Column, kind: str) -> Column:
     """Every match as a struct: kind, its number, characters since the last match, itself."""
     p = PATTERNS[kind]
-    gaps, found = F.split(text, p, -1), F.regexp_extract_all(text, F.lit(p), F.lit(0))
+    # zipped, so that a text is split once: what a lambda refers to is worked out for each element
+    both = F.zip_with(F.split(text, p, -1), F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda gap, s: F.struct(F.length(gap).alias("gap"), s.alias("s")))
 
-    def one(s: Column, i: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(F.get(gaps, i)).alias("gap"), s.alias("s"))
+    def one(x: Column, i: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), x["gap"].alias("gap"), x["s"].alias("s"))
 
     held = F.contains(text, F.lit(NEEDS[kind])) if NEEDS[kind] else F.lit(True)
     need = held if kind == "email" else held & F.regexp_like(text, F.lit("[0-9]"))
-    return F.when(need, F.transform(found, one))
+    return F.when(need, F.transform(F.filter(both, lambda x: x["s"].isNotNull()), one))
 
 
 def _base(texts: DataFrame) -> DataFrame:
@@ -83,9 +84,8 @@ def _own(texts: DataFrame, rows: DataFrame) -> DataFrame:
 
 def _places(texts: DataFrame) -> DataFrame:
     """(doc, same, term, start, end) of every term of the texts."""
-    gaps, found = F.split("t", TERM, -1), F.regexp_extract_all("t", F.lit(TERM), F.lit(0))
-    each = F.transform(found, lambda s, i: F.struct(i.alias("i"), F.length(F.get(gaps, i)).alias("gap"), F.length(s).alias("n"), F.lower(s).alias("term")))
-    rows = texts.select("doc", "same", F.explode(each).alias("x")).select("doc", "same", "x.*")
+    both = F.zip_with(F.split("t", TERM, -1), F.regexp_extract_all("t", F.lit(TERM), F.lit(0)), lambda gap, s: F.struct(F.length(gap).alias("gap"), F.length(s).alias("n"), F.lower(s).alias("term")))
+    rows = texts.select("doc", "same", F.posexplode(F.filter(both, lambda x: x["term"].isNotNull())).alias("i", "x")).select("doc", "same", "i", "x.*")
     upto = Window.partitionBy("doc", "same").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.withColumn("end", F.sum(F.col("gap") + F.col("n")).over(upto)).select("doc", "same", "term", (F.col("end") - F.col("n")).alias("start"), "end")
 
