@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longitrack.llm import decontaminate, mixing, passages, pii, quality, secrets, simhash, substrings, urls, warc
+from longitrack.llm import decontaminate, hyperminhash, mixing, negatives, passages, pii, quality, secrets, simhash, substrings, urls, warc
 from longitrack.llm.common import new_path, table
 
 
@@ -64,6 +64,16 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(f"n_{k}" for k in pii.KINDS), F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op11_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(negatives.usable(rows.withColumn("label", noisy)), F.col("id") % 50 == 0)
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash": op2_simhash,
@@ -75,6 +85,8 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_urls": op9_urls,
     "op10_pii": op10_pii,
+    "op11_hyperminhash": op11_hyperminhash,
+    "op12_negatives": op12_negatives,
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -123,5 +135,30 @@ SELECT page_id, payload_bytes,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first THEN first END AS refers_to
 FROM q
+""",
+    "op11_hyperminhash": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM d, unnest(range(1, greatest(2, len(w) - 2))) AS r(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+e AS (SELECT x.doc_id AS a, y.doc_id AS b FROM s AS x JOIN s AS y USING (g) JOIN n AS nx ON nx.doc_id = x.doc_id JOIN n AS ny ON ny.doc_id = y.doc_id
+  WHERE x.doc_id <> y.doc_id GROUP BY ALL HAVING 100 * count(*) >= 80 * (any_value(nx.n) + any_value(ny.n) - count(*))),
+c AS (SELECT doc_id, doc_id AS root FROM d UNION SELECT e.b, c.root FROM c JOIN e ON e.a = c.doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.root AS component_id, d.doc_id = m.root AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(root) AS root FROM c GROUP BY 1) AS m USING (doc_id)
+""",
+    "op12_negatives": """
+WITH r AS (
+  SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.id AS a, b.id AS b, a.label = b.label AS alike, list_inner_product(a.v, b.v)::BIGINT AS score FROM r AS a JOIN r AS b ON a.id % 50 = 0 AND a.id <> b.id
+), p AS (
+  SELECT * FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5
+)
+SELECT p.a AS anchor_id, p.b AS positive_id, (row_number() OVER w)::INT AS rank, s.b AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT s.alike AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+WINDOW w AS (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b)
+QUALIFY row_number() OVER w <= 3
 """,
 }
