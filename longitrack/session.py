@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -24,3 +25,14 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
     context.addPyFile(path)
     context._longitrack_shipped = True
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own under spark.checkpoint.dir, which driver and executors share; a local session without one (tests) gets a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="shared-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
