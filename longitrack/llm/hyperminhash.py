@@ -13,17 +13,18 @@ whole shingle sets decide.
 
 Links are looked for in two steps, so that a group of many near copies never makes all its pairs. First every
 class is compared with one leader: of the least classes of its bands, the one it shares most bands with. The
-components of those links then are what second candidates are judged by: only classes that meet in a band and are in
-different components are compared, in the bands' groups, cut into blocks of bounded size. Where a class comes close to a member of a
-component, it is verified against all of its members at once, so each class links to that component or does not.
+components of those links decide what is left to compare: classes that meet in a band, are close in size and are in
+different components. They are compared within their band's groups, which are cut into pairs of blocks of bounded
+size: by registers at first, then, where a class comes close to one of another component, by whole sets. A task gives one link for
+each two components it joins, so what comes out grows with classes, not with pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -39,10 +40,10 @@ BUCKET_BITS, MANTISSA_BITS = 7, 10
 REGISTERS, BAND = 1 << BUCKET_BITS, 4
 #: How far below the threshold, in standard errors, an estimate may be without ruling a pair out.
 ERRORS = 5.0
-#: Groups of a band up to this size are compared pair by pair, larger ones in blocks of BLOCK classes.
-FEW, BLOCK = 12, 1024
-#: Components up to this size are verified pair by pair, larger ones in blocks of so many members.
-MEMBERS = 64
+#: Groups of a band are compared in blocks of about so many classes, or so many shingles where they are long.
+BLOCK, SHINGLES = 1024, 1 << 20
+#: Pairs of registers compared at a time.
+PAIRS = 1 << 15
 
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -127,13 +128,13 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(class, registers) to (key, class) for each band with a hash."""
+    """(class, registers) to (key, band, class) for each band with a hash."""
     for b in batches:
         if b.num_rows:
             bands = _matrix(b.column(1), np.uint64, REGISTERS // BAND)
             row, band = np.nonzero(bands)
             keys = _mixed(bands[row, band] * _SEEDS[0] + _SEEDS[band + 16]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), b.column(0).take(pa.array(row))], names=["key", "class"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(band.astype(np.int8)), b.column(0).take(pa.array(row))], names=["key", "band", "class"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,44 +170,102 @@ def _similar(percent: int):
     return f
 
 
-def _near_in_blocks(percent: int):
-    def f(key, mine):
-        """Of one pair of blocks of a band's group (class, comp, n, registers, side): each class with the nearest possible partner in every other component."""
-        x, y = mine[mine.side != 1], mine[mine.side != 0]  # side 2: both
-        rx, ry = (np.frombuffer(b"".join(d.registers), np.uint16).reshape(-1, REGISTERS) for d in (x, y))
-        out = []
-        comps, place = np.unique(y.comp.to_numpy(), return_inverse=True)
-        ny, cy = y.n.to_numpy(), y["class"].to_numpy()
-        for r, n, comp, cls in zip(rx, x.n.to_numpy(), x.comp.to_numpy(), x["class"].to_numpy(), strict=True):
-            hit = np.flatnonzero(close(r[None, :], ry, np.full(len(ny), n), ny, percent) & (comps[place] != comp))
-            if len(hit):
-                _, first = np.unique(place[hit], return_index=True)
-                out += [(cls, cy[j], comps[place[j]]) for j in hit[first]]
-        return pd.DataFrame(out, columns=["a", "b", "comp"])
+def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
+    """Batches sorted by their first columns, cut into tables of one group each."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = [c.to_numpy() for c in b.columns[:n_keys]]
+        cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+        if held and any(k[0] != held[0].column(i)[0].as_py() for i, k in enumerate(keys)):
+            yield pa.Table.from_batches(held)
+            held = []
+        bounds = [0, *cuts.tolist(), b.num_rows]
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            if lo:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _shared(sets: list[np.ndarray]):
+    """A function of one set to how many members it shares with each of these sets, by one index over all."""
+    size = np.array([len(s) for s in sets])
+    every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+
+    def f(own: np.ndarray) -> np.ndarray:
+        lo, many = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
+        many -= lo
+        at = np.repeat(lo - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
+        return np.bincount(owner[at], minlength=len(sets))
 
     return f
 
 
-def _against_members(percent: int):
-    def f(key, members, asking):
-        """One block of a component's members against the classes that ask for it: the first similar member of each."""
-        sets = [np.frombuffer(v, np.uint64) for v in members.members]
-        if not sets or asking.empty:
-            return pd.DataFrame({"a": np.array([], np.int64), "b": np.array([], np.int64)})
-        size = np.array([len(s) for s in sets])
-        every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-        order = np.argsort(every, kind="stable")
-        every, owner, names, out = every[order], owner[order], members["class"].to_numpy(), []
-        for cls, v in zip(asking["class"], asking.members, strict=True):
-            own = np.frombuffer(v, np.uint64)
-            lo, hi = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
-            many = hi - lo
-            at = np.repeat(lo - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
-            shared = np.bincount(owner[at], minlength=len(sets))
-            hit = np.flatnonzero(100 * shared >= percent * (size + len(own) - shared))
-            if len(hit):
-                out.append((cls, names[hit[0]]))
-        return pd.DataFrame(out, columns=["a", "b"]).astype(np.int64)
+def _first_band(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The first band in which rows of registers agree."""
+    x, y = (np.ascontiguousarray(v).view(np.uint64) for v in (x, y))
+    return ((x == y) & (x != 0)).argmax(axis=1)
+
+
+def _possible(g: pa.Table, comp: np.ndarray, regs: np.ndarray, n: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (i, j) of a group that may be linked: of different components, in this pair of blocks, close by their registers.
+
+    A pair that meets in several bands is one of the first alone, and of one class of sizes: two rows that are both of the
+    class below have met there.
+    """
+    side, below, band = (g.column(c).to_numpy() for c in ("side", "below", "band"))
+    asks, asked = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    for at in range(0, len(asks), step := max(1, PAIRS // max(1, len(asked)))):
+        x = asks[at : at + step, None]
+        i, j = np.nonzero((comp[x] != comp[asked]) & ~(below[x] & below[asked]) & ((side[x] != 2) | (x < asked)))
+        i, j = x[i, 0], asked[j]
+        i, j = (v[_first_band(regs[i], regs[j]) == band[0]] for v in (i, j)) if len(i) else (i, j)
+        keep = close(regs[i], regs[j], n[i], n[j], percent)
+        yield i[keep], j[keep]
+
+
+def _promising(percent: int):
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted (_DEALT, registers): the (key, size, class) with a possible partner in another component."""
+        for g in _groups(batches, 4):
+            found = np.zeros(len(g), bool)
+            for i, j in _possible(g, g.column("comp").to_numpy(), _matrix(g.column("registers")), g.column("n").to_numpy(), percent):
+                found[i] = found[j] = True
+            if found.any():
+                yield pa.RecordBatch.from_arrays([pa.array(g.column(c).to_numpy()[found]) for c in ("key", "size", "class")], names=["key", "size", "class"])
+
+    return f
+
+
+def _verified(percent: int):
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted (_DEALT, members): links between components at the threshold, one for each two that a group joins."""
+        for g in _groups(batches, 4):
+            sets = [np.frombuffer(v, np.uint64) for v in g.column("members").to_pylist()]
+            n, cls = g.column("n").to_numpy(), g.column("class").to_numpy()
+            _, comp = np.unique(g.column("comp").to_numpy(), return_inverse=True)
+            regs, shared, out = np.array([registers(s) for s in sets]), None, []
+            for i, j in _possible(g, comp.copy(), regs, n, percent):
+                for x in np.unique(i):
+                    y = j[(i == x)]
+                    y = y[comp[y] != comp[x]]  # not joined meanwhile
+                    if len(y) > 8:
+                        shared = shared or _shared(sets)
+                        both = shared(sets[x])[y]
+                    else:
+                        both = np.array([len(np.intersect1d(sets[x], sets[k], assume_unique=True)) for k in y], np.int64)
+                    for k in y[100 * both >= percent * (n[x] + n[y] - both)]:
+                        if comp[k] != comp[x]:
+                            out.append((cls[x], cls[k]))
+                            comp[comp == comp[k]] = comp[x]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
     return f
 
@@ -218,16 +277,37 @@ def _two(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
     return pairs.select("a", "b", *(f"{c}_{side}" for c in columns for side in "ab"))
 
 
-def links(classes: DataFrame, texts: DataFrame, percent: int = SIMILARITY, few: int = FEW, block: int = BLOCK, members_up_to: int = MEMBERS) -> DataFrame:
+_DEALT = ("key", "size", "i", "j", "side", "band", "below", "class", "comp", "n")
+
+
+def _mixed_only(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of groups with more than one component."""
+    mixed = rows.groupBy(*keys).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(*keys)
+    return rows.join(mixed, keys)
+
+
+def _dealt(rows: DataFrame, block: int) -> DataFrame:
+    """rows (key, size, class, comp, n) for each pair (i, j) of blocks of their group that they are in; side is 0 in i, 1 in j, 2 if i = j.
+
+    A block holds about `block` classes, or SHINGLES of their shingles if those are fewer classes.
+    """
+    load = rows.groupBy("key", "size").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("blocks"))
+    own = F.when(F.col("blocks") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("class", "key"), F.col("blocks"))).cast("int")
+    each = rows.join(load, ["key", "size"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    return each.select("key", "size", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), *_DEALT[5:])
+
+
+def links(classes: DataFrame, texts: DataFrame, percent: int = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """Verified links (a, b) between classes that join all classes at the threshold.
 
     classes: (class, n, registers, id, same), texts: (id, same, text), the row of each class among them. Every link given
     is at the threshold; pairs whose ends other links join need not be among them.
     """
-    keys = classes.select("class", "registers").mapInArrow(_bands, "key long, class long")
+    keys = classes.select("class", "registers").mapInArrow(_bands, "key long, band byte, class long")
     met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("met"), F.min("class").alias("leader")).where("met > 1")
     held = written(keys.join(met.select("key", "leader"), "key"), "bands")
-    near = lambda pairs: _two(pairs, classes, "n", "registers").mapInArrow(_estimated(percent), "a long, b long")
+    estimated = lambda pairs: _two(pairs, classes, "n", "registers").mapInArrow(_estimated(percent), "a long, b long")
 
     stars = held.where("class <> leader").groupBy("class", "leader").agg(F.count(F.lit(1)).alias("bands"))
     chosen = stars.groupBy("class").agg(F.max_by("leader", F.struct("bands", "leader")).alias("b")).select(F.col("class").alias("a"), "b")
@@ -236,39 +316,22 @@ def links(classes: DataFrame, texts: DataFrame, percent: int = SIMILARITY, few:
         mine = texts.join(wanted, texts["id"].eqNullSafe(wanted["id"]) & (texts["same"] == wanted["same"]))
         sets = written(mine.select("class", "text").mapInArrow(_sets, "class long, members binary").dropDuplicates(["class"]), "sets")
         similar = lambda pairs: _two(pairs, sets, "members").mapInArrow(_similar(percent), "a long, b long")
-        first = written(similar(near(chosen)), "first-links")
+        first = written(similar(estimated(chosen)), "first-links")
 
         parts = written(connected_components(first).select(F.col("node").alias("class"), F.col("component").alias("comp")), "first-components")
-        placed = held.select("key", "class").join(parts, "class", "left").select("key", "class", F.coalesce("comp", "class").alias("comp"))
-        mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("met")).where("lo <> hi")
-        rest = written(placed.join(mixed.select("key", "met"), "key"), "mixed-bands")
-
-        little = rest.where(F.col("met") <= few)
-        x, y = (little.select("key", F.col("class").alias(c), F.col("comp").alias(f"comp_{c}")) for c in "ab")
-        pairs = x.join(y, "key").where("a < b AND comp_a <> comp_b").select("a", "b").distinct()
-        of_few = near(pairs)
-
-        blocks = F.ceil(F.col("met") / block).cast("int")
-        own = F.pmod(F.xxhash64("class", "key"), F.col("blocks")).cast("int")
-        dealt = rest.where(F.col("met") > few).withColumn("blocks", blocks).withColumn("own", own)
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        dealt = dealt.withColumn("other", other).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "class", "comp")
-        of_many = dealt.join(classes.select("class", "n", "registers"), "class").groupBy("key", "i", "j").applyInPandas(_near_in_blocks(percent), "a long, b long, comp long")
-        at = lambda pairs: pairs.join(parts.withColumnRenamed("class", "b"), "b", "left").select("a", F.coalesce("comp", "b").alias("comp"))
-        asks = written(at(of_few).unionByName(of_many.select("a", "comp")).distinct(), "asks")
-
-        # all members of the components asked for
-        everyone = sets.select("class").join(parts, "class", "left").select("class", F.coalesce("comp", "class").alias("comp"))
-        asked = everyone.join(asks.select("comp").distinct(), "comp", "left_semi")
-        sized = written(asked.groupBy("comp").agg(F.count(F.lit(1)).alias("size")), "asked")
-        small = asks.join(sized.where(F.col("size") <= members_up_to), "comp").join(asked.withColumnRenamed("class", "b"), "comp").select("a", "b")
-        second = similar(near(small.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
-
-        large = sized.where(F.col("size") > members_up_to).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-        cut = asked.join(large, "comp").join(sets, "class").select("comp", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("part"), "class", "members")
-        asking = asks.join(large, "comp").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumnRenamed("a", "class").join(sets, "class").select("comp", "part", "class", "members")
-        third = cut.groupBy("comp", "part").cogroup(asking.groupBy("comp", "part")).applyInPandas(_against_members(percent), "a long, b long")
-        return written(first.unionByName(second).unionByName(third), "links")
+        placed = held.select("key", "band", "class").join(parts, "class", "left").select("key", "band", "class", F.coalesce("comp", "class").alias("comp"))
+        rest = _mixed_only(placed, ["key"]).join(classes.select("class", "n"), "class")
+        # sets at the threshold differ in size by 1 / 0.8 at most: they are in one class of sizes or in neighbouring ones
+        step = F.floor(F.log(F.col("n")) / F.lit(math.log(100 / percent)) - F.lit(1e-9)).cast("long")
+        near = F.explode(F.array(F.struct(step.alias("size"), F.lit(False).alias("below")), F.struct((step + 1).alias("size"), F.lit(True).alias("below"))))
+        rest = written(_mixed_only(rest.withColumn("s", near).select("key", "band", "class", "comp", "n", "s.*"), ["key", "size"]), "mixed-bands")
+        in_blocks = lambda rows: rows.repartition("key", "size", "i", "j").sortWithinPartitions("key", "size", "i", "j")
+
+        maybe = in_blocks(_dealt(rest, block).join(classes.select("class", "registers"), "class").select(*_DEALT, "registers"))
+        maybe = written(maybe.mapInArrow(_promising(percent), "key long, size long, class long").distinct(), "promising")
+        near_by = _dealt(rest.join(maybe, ["key", "size", "class"]), block)
+        second = in_blocks(near_by.join(sets, "class").select(*_DEALT, "members")).mapInArrow(_verified(percent), "a long, b long")
+        return written(first.unionByName(second), "links")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = SIMILARITY, **options) -> DataFrame:
