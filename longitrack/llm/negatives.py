@@ -29,6 +29,8 @@ from longitrack.session import ship
 
 #: Components of a bucket's or an anchor block's matrix at most (but for a single longer vector), and how many buckets one task takes.
 COMPONENTS, CHUNK = 1 << 17, 4
+#: Tasks that make stacks at most.
+MOST_PARTS = 20_000
 #: Components of the product of a slice of anchors with a bucket held at a time.
 HELD = 1 << 20
 
@@ -84,7 +86,11 @@ def stacked(rows: DataFrame, name: str, by: Column, windows: Column, components:
     """rows (id, label, v, norm) as a written table of stacks with neighbouring values of `by`; low is a stack's least."""
     keys = ["dim", "by", "id"]
     dealt = rows.select(F.size("v").cast("long").alias("dim"), "id", "label", "v", by.cast("double").alias("by"), windows.cast("array<long>").alias("windows"))
-    return written(dealt.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(_stack(components, chunk), _STACK_DDL), name)
+    # as many parts as chunks, however many the session has: a stack that isn't full costs as much as a full one
+    size = rows.agg(F.sum(F.greatest(F.size("v"), F.lit(16)).cast("long"))).first()[0] or 0
+    parts = min(MOST_PARTS, -(-size // (components * chunk)) or 1)
+    ranges = dealt.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).coalesce(parts)
+    return written(ranges.mapInArrow(_stack(components, chunk), _STACK_DDL), name)
 
 
 def _unpacked(b) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
