@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from longitrack.operators import audits, bundles, dynamic
-from longitrack.plans import policy
+from longitrack.plans import policy, subjects
 from longitrack.plans.catalog import _table, query
 
 _N, _GAP, _NEAR, _REACH = 7, 2, 12.0, 2.0
@@ -184,3 +184,26 @@ def tracklet_tracks(spark, d):
     found = dynamic.tracklet_tracks(detections, _pairs(spark, d), _N, hypotheses=4, veto=False, local=_LOCAL)
     first = found.groupBy("subject", "track_id").agg(F.min_by("roi", "session_index").alias("first"))
     return found.join(first, ["subject", "track_id"]).select("subject", F.concat_ws(":", F.lit(0), "first").alias("track"), "session_index", "roi")
+
+
+# From supports to tracks in one plan.
+
+
+@query(
+    _SCORED
+    + """, pc AS (SELECT subject, sa, sb, ra, rb, distance, -ln(least(greatest(i / (na + nb - i), 1e-6), 1)) AS cost FROM pr WHERE sb - sa <= 2),
+pk AS (SELECT *, row_number() OVER (PARTITION BY subject, sa, sb, ra ORDER BY cost, rb) AS kr, row_number() OVER (PARTITION BY subject, sa, sb, rb ORDER BY cost, ra) AS kc FROM pc)
+SELECT subject, sa::INT AS session_a, sb::INT AS session_b, ra AS roi_a, rb AS roi_b, round(distance, 5) AS distance, round(cost, 5) AS cost FROM pk WHERE kr <= 2 OR kc <= 2"""
+)
+def subject_costs(spark, d):
+    """The cheapest candidates of every supplier over pairs of years up to two apart, each pair a subject of its own."""
+    out = subjects.registered_costs(_supports(spark, d), 2, transform="none", reach=_REACH, top_k=2)
+    return out.select(*_EDGE, "roi_a", "roi_b", F.round("distance", 5).alias("distance"), F.round("cost", 5).alias("cost"))
+
+
+@query()
+def subject_tracking(spark, d):
+    """Registration of the centroids of every pair of years up to two apart, costs of the registered supports, and a path cover by component."""
+    supports = _supports(spark, d)
+    frames = supports.select("subject", "session_index", F.lit(11).alias("height"), F.lit(11).alias("width")).distinct()
+    return subjects.track_subjects(supports, frames=frames, transform="points", reach=_REACH, rounds=5)
