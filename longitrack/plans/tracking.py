@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from longitrack.operators import audits, bundles, dynamic
-from longitrack.plans import policy, subjects
+from longitrack.plans import joint, policy, subjects
 from longitrack.plans.catalog import _table, query
 
 _N, _GAP, _NEAR, _REACH = 7, 2, 12.0, 2.0
@@ -207,3 +207,27 @@ def subject_tracking(spark, d):
     supports = _supports(spark, d)
     frames = supports.select("subject", "session_index", F.lit(11).alias("height"), F.lit(11).alias("width")).distinct()
     return subjects.track_subjects(supports, frames=frames, transform="points", reach=_REACH, rounds=5)
+
+
+@query(
+    _SCORED
+    + """, pc AS (SELECT subject, sa, sb, ra, rb, -ln(least(greatest(i / (na + nb - i), 1e-6), 1)) AS cost FROM pr WHERE sb - sa <= 2),
+pk AS (SELECT *, row_number() OVER (PARTITION BY subject, sa, sb, ra ORDER BY cost, rb) AS kr, row_number() OVER (PARTITION BY subject, sa, sb, rb ORDER BY cost, ra) AS kc, row_number() OVER (PARTITION BY subject, sa, sb ORDER BY cost, ra, rb) AS k, quantile_cont(cost, 0.25) OVER (PARTITION BY subject, sa, sb) AS lim FROM pc),
+pn AS (SELECT *, kr = 1 AND kc = 1 AND cost <= lim AS sure, count(*) FILTER (kr = 1 AND kc = 1 AND cost <= lim) OVER (PARTITION BY subject, sa, sb) AS n FROM pk)
+SELECT subject, sa::INT AS session_a, sb::INT AS session_b, ra AS roi_a, rb AS roi_b, sure OR (n < 2 AND k <= 2) AS anchor, round(CASE WHEN sure OR (n < 2 AND k <= 2) THEN greatest(0, cost - 0.25) ELSE cost END, 5) AS cost FROM pn"""
+)
+def subject_anchor_relief(spark, d):
+    """The costs of all pairs of years up to two apart, those of pairs that are sure of each other relieved."""
+    costs = subjects.registered_costs(_supports(spark, d), 2, transform="none", reach=_REACH, top_k=None)
+    out = joint.relieved(costs, _EDGE, 0.25, 2)
+    return out.select(*_EDGE, "roi_a", "roi_b", "anchor", F.round("cost", 5).alias("cost"))
+
+
+@query()
+def subject_refinement(spark, d):
+    """Three rounds of registration by anchors of every pair of consecutive years: anchors and their mean cost by round."""
+    supports = _supports(spark, d)
+    frames = supports.select("subject", "session_index", F.lit(11).alias("height"), F.lit(11).alias("width")).distinct()
+    identity = subjects.session_pairs(supports, 1).select(*_EDGE, *(F.lit(v).alias(c) for c, v in zip(("xx", "xy", "x0", "yx", "yy", "y0"), (1.0, 0.0, 0.0, 0.0, 1.0, 0.0), strict=True)))
+    _, states = joint.refine(supports, frames, quantile=0.25, least=3, reach=_REACH, start=identity)
+    return states.select(*_EDGE, "round", "n_pairs", "n_anchors", F.round("mean_anchor_cost", 5).alias("mean_anchor_cost"))
