@@ -280,3 +280,66 @@ def stitched(tracks: DataFrame, paths: DataFrame, order: list[Column], n_session
     new = steps.join(picked, key, "left_semi").select("subject", "track_id", "session_index", "roi")
     flags = typed.join(picked.withColumn("selected", F.lit(True)), key, "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
     return own.withColumn("added", F.lit(False)).unionByName(new.withColumn("added", F.lit(True))), flags
+
+
+#: Fixed values of the choice among hypotheses: candidates of a subject, edits of a hypothesis, hypotheses of a subject, and what edits and short pieces cost.
+CANDIDATES, EDITS, HYPOTHESES = 4, 2, 16
+EDIT_PENALTY, FRAGMENT_PENALTY, SCORE_THRESHOLD, MEANINGFUL = 0.25, 0.5, 1.0, 2
+
+
+def hypotheses(candidates: DataFrame, order: list[Column], top_k: int = CANDIDATES, max_edits: int = EDITS, most: int = HYPOTHESES, penalty: float = EDIT_PENALTY) -> DataFrame:
+    """(subject, edits array<int>, total): sets of a subject's top_k candidates, up to max_edits in each, the `most` of the greatest total score less penalties.
+
+    candidates: (subject, score, ...), and `conflict` as an array of strings, if some can't be made together: those that share one. An edit is named by its place, from 1, by descending score
+    and then the explicit order. Equal totals go to fewer edits, then to those that come first.
+    """
+    k = F.row_number().over(Window.partitionBy("subject").orderBy(F.desc("score"), *order))
+    held = F.col("conflict") if "conflict" in candidates.columns else F.array().cast("array<string>")
+    ranked = candidates.withColumn("subject", F.col("subject").cast("string")).withColumn("k", k).where(F.col("k") <= top_k).select("subject", "k", "score", F.coalesce(held, F.array().cast("array<string>")).alias("held"))
+    now = ranked.select("subject", F.array("k").alias("edits"), F.col("score").cast("double").alias("total"), "held")
+    out = now
+    more = ranked.withColumnsRenamed({"held": "also", "score": "gain"})
+    for _ in range(max_edits - 1):  # top_k ^ max_edits sets of a subject at most
+        now = now.join(more, "subject").where((F.col("k") > F.element_at("edits", -1)) & ~F.arrays_overlap("held", "also"))
+        now = now.select("subject", F.concat("edits", F.array("k")).alias("edits"), (F.col("total") + F.col("gain")).alias("total"), F.concat("held", "also").alias("held"))
+        out = out.unionByName(now)
+    value = F.round(F.col("total") - penalty * F.size("edits"), 9)
+    first = F.row_number().over(Window.partitionBy("subject").orderBy(F.desc(value), F.size("edits"), "edits"))
+    return out.withColumn("_n", first).where(F.col("_n") <= most).select("subject", "edits", "total")
+
+
+def best_configuration(tracks: DataFrame, candidates: DataFrame, order: list[Column], n_sessions: int, top_k: int = CANDIDATES, max_edits: int = EDITS, most: int = HYPOTHESES, edit_penalty: float = EDIT_PENALTY, fragment_penalty: float = FRAGMENT_PENALTY, completion_penalty: float = 0.0, meaningful: int = MEANINGFUL, threshold: float = SCORE_THRESHOLD, **gates) -> tuple[DataFrame, DataFrame]:
+    """Tracks split by the set of edits that leaves each subject's tracks best, and every set with its objective and `chosen`.
+
+    candidates: links to split at, (subject, session_a, session_b, roi_a, roi_b, occurrence, score), and `conflict` as for hypotheses. Each set is applied to the tracks by itself, under the gates of
+    vetoed(). Its objective is the scores of what applied, less a penalty for each edit, for each piece of fewer than `meaningful` observations more than before, and for
+    each complete track lost. The greatest objective is chosen if it reaches the threshold; ties go to fewer edits. Sets of which nothing applies are never chosen.
+    """
+    own = written(_typed(tracks), "tracks")
+    c = candidates.withColumn("subject", F.col("subject").cast("string"))
+    names = ["session_a", "session_b", "roi_a", "roi_b", "occurrence"]
+    placed = c.withColumn("k", F.row_number().over(Window.partitionBy("subject").orderBy(F.desc("score"), *order))).where(F.col("k") <= top_k)
+    placed = written(placed.select("subject", "k", "score", *names), "candidates")
+    sets = hypotheses(c, order, top_k, max_edits, most, edit_penalty).withColumn("key", F.concat_ws("|", F.array_join(F.transform("edits", lambda x: x.cast("string")), ","), "subject"))
+    sets = written(sets, "hypotheses")
+    # only tracks that hold a candidate's link change: others are the same under every set
+    ends = own.select("subject", "track_id", F.col("session_index").alias("session_a"), F.col("roi").alias("roi_a"))
+    hit = ends.join(placed.select("subject", "session_a", "roi_a").distinct(), ["subject", "session_a", "roi_a"], "left_semi").select("subject", "track_id").distinct()
+    some = own.join(hit, ["subject", "track_id"], "left_semi")
+    copies = some.join(sets.select("subject", "key"), "subject").select(F.col("key").alias("subject"), "track_id", "session_index", "roi")
+    each = sets.select("key", "subject", F.explode("edits").alias("k")).join(placed, ["subject", "k"])
+    pieces, flags = vetoed(copies, each.select(F.col("key").alias("subject"), "k", "score", *names), [F.col("k")], n_sessions, **gates)
+    short = lambda n: F.count_if(F.col("n") < n)
+    size = pieces.groupBy("subject", "track_id", "piece").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("subject").alias("key")).agg(short(meaningful).alias("short_after"), F.count_if(F.col("n") >= n_sessions).alias("complete_after"))
+    base = some.groupBy("subject", "track_id").agg(F.count(F.lit(1)).alias("n")).groupBy("subject").agg(short(meaningful).alias("short_before"), F.count_if(F.col("n") >= n_sessions).alias("complete_before"))
+    gain = flags.groupBy(F.col("subject").alias("key")).agg(F.count_if("applied").alias("n_applied"), F.coalesce(F.sum(F.when(F.col("applied"), F.col("score"))), F.lit(0.0)).alias("benefit"))
+    scored = sets.join(gain, "key", "left").join(size, "key", "left").join(base, "subject", "left").na.fill(0)
+    new, lost = F.greatest(F.col("short_after") - F.col("short_before"), F.lit(0)), F.greatest(F.col("complete_before") - F.col("complete_after"), F.lit(0))
+    objective = F.col("benefit") - edit_penalty * F.col("n_applied") - fragment_penalty * new - completion_penalty * lost
+    scored = scored.withColumns({"objective": objective, "new_short": new, "lost_complete": lost})
+    able = (F.col("n_applied") > 0) & (F.round("objective", 9) >= threshold)
+    first = F.row_number().over(Window.partitionBy("subject").orderBy(F.desc(able), F.desc(F.round("objective", 9)), F.size("edits"), "edits"))
+    scored = written(scored.withColumn("chosen", able & (first == 1)).select("subject", "edits", "total", "n_applied", "new_short", "lost_complete", "objective", "chosen"), "objectives")
+    take = scored.where("chosen").select("subject", F.explode("edits").alias("k")).join(placed, ["subject", "k"])
+    done, _ = vetoed(own, take.select("subject", "k", *names), [F.col("k")], n_sessions, **gates)
+    return done, scored

@@ -100,3 +100,24 @@ def cleanup_applied_suffixes(spark, d):
     out, flags = edits.stitched(kept.select("subject", "track_id", "session_index", "roi"), paths, [F.desc(F.round("score", 9)), F.col("name"), F.col("rois")], _N, 2)
     added = out.where("added").join(flags.where("selected").select("subject", "track_id", "name", F.round("score", 6).alias("score")), ["subject", "track_id"])
     return added.select("subject", F.col("name").alias("track"), "score", "session_index", "roi")
+
+
+@query(
+    _BOTH
+    + """, lk AS (SELECT te.subject, sel.seed, a, 4 - ps.score AS benefit, row_number() OVER (PARTITION BY te.subject ORDER BY 4 - ps.score DESC, a, x) AS k FROM te JOIN ps ON ps.subject = te.subject AND ps.sa = a AND ps.sb = a + 1 AND ps.ra = x AND ps.rb = y JOIN sel ON sel.subject = te.subject AND sel.row[a + 1] = x AND sel.row[a + 2] = y QUALIFY k <= 4),
+hs AS (SELECT subject, [k] AS ks FROM lk UNION ALL SELECT p.subject, [p.k, q.k] FROM lk p JOIN lk q ON p.subject = q.subject AND p.k < q.k),
+he AS (SELECT hs.subject, ks, lk.seed, a, benefit FROM hs JOIN lk ON lk.subject = hs.subject AND list_contains(ks, lk.k)),
+ht AS (SELECT DISTINCT subject, seed FROM lk),
+hx AS (SELECT hs.subject, ks, sel.seed, r.s, (SELECT count(*) FROM he WHERE he.subject = hs.subject AND he.ks = hs.ks AND he.seed = sel.seed AND he.a < r.s) AS piece FROM hs JOIN ht ON ht.subject = hs.subject JOIN sel ON sel.subject = ht.subject AND sel.seed = ht.seed JOIN range(0, 7) AS r(s) ON sel.row[r.s + 1] >= 0),
+ha AS (SELECT subject, ks, count(*) FILTER (n < 2) AS short FROM (SELECT subject, ks, seed, piece, count(*) AS n FROM hx GROUP BY ALL) GROUP BY ALL),
+ho AS (SELECT he.subject, ks, sum(benefit) - 0.25 * count(*) - 0.5 * any_value(short) AS objective FROM he JOIN ha USING (subject, ks) GROUP BY ALL),
+hc AS (SELECT * FROM ho WHERE round(objective, 9) >= 1 QUALIFY row_number() OVER (PARTITION BY subject ORDER BY round(objective, 9) DESC, len(ks), ks) = 1)
+SELECT ho.subject, array_to_string(list_transform(ho.ks, lambda v: v::VARCHAR), ',') AS edits, round(ho.objective, 5) AS objective, hc.ks IS NOT NULL AS chosen FROM ho LEFT JOIN hc ON hc.subject = ho.subject AND hc.ks = ho.ks"""
+)
+def cleanup_best_configuration(spark, d):
+    """Sets of up to two splits of a nation's chosen paths at their weakest links, by the pieces that they leave."""
+    tracks = _teacher(spark, d)
+    links = edits.teacher_edges(tracks).select("subject", F.col("session_index").alias("session_a"), (F.col("session_index") + 1).alias("session_b"), F.col("roi").alias("roi_a"), "roi_b", F.lit(0).alias("occurrence"))
+    weak = links.join(_pairs(spark, d).select("subject", "session_a", "session_b", "roi_a", "roi_b", (4 - F.col("score")).alias("score")), ["subject", "session_a", "session_b", "roi_a", "roi_b"])
+    _, sets = edits.best_configuration(tracks, weak, [F.col("session_a"), F.col("roi_a")], _N)
+    return sets.select("subject", F.array_join(F.transform("edits", lambda x: x.cast("string")), ",").alias("edits"), F.round("objective", 5).alias("objective"), "chosen")

@@ -215,3 +215,68 @@ def test_greedy_choice_of_suffixes_against_plain_python(spark):
     _, flags = E.stitched(tracks, spark.createDataFrame(rows, PATH), [F.desc("score")], N, 4)
     assert {r.path_id for r in flags.where("selected").collect()} == want
     assert len(list(itertools.combinations(want, 2))) > 0
+
+
+def configurations(rows, candidates, options, n=N):
+    """One subject's sets of edits with their objectives, by splitting whole rows. candidates: (a, b, x, y, score) in order."""
+    ranked = sorted(enumerate(candidates), key=lambda t: (-t[1][4], t[0]))[: options["top_k"]]
+    sets = []
+    for size in range(1, options["max_edits"] + 1):
+        for pick in itertools.combinations(range(len(ranked)), size):
+            sets.append((round(sum(ranked[i][1][4] for i in pick) - options["edit_penalty"] * size, 9), size, pick))
+    sets = sorted(sets, key=lambda t: (-t[0], t[1], t[2]))[: options["most"]]
+    out = []
+    for _, size, pick in sets:
+        now, gain, applied = [list(r) for r in rows], 0.0, 0
+        for i in pick:
+            a, b, x, y, score = ranked[i][1]
+            hit = next((k for k, r in enumerate(now) if r[a] == x and r[b] == y), None)
+            if hit is None or (options["complete"] and min(now[hit]) < 0):
+                continue
+            r = now.pop(hit)
+            now += [r[:b] + [-1] * (n - b), [-1] * b + r[b:]]
+            gain, applied = gain + score, applied + 1
+        short = lambda rs: sum(sum(v >= 0 for v in r) < options["meaningful"] for r in rs)
+        whole = lambda rs: sum(min(r) >= 0 for r in rs)
+        value = gain - options["edit_penalty"] * applied - options["fragment_penalty"] * max(0, short(now) - short(rows)) - options["completion_penalty"] * max(0, whole(rows) - whole(now))
+        out.append((tuple(i + 1 for i in pick), applied, round(value, 9), Counter(tuple(r) for r in now)))
+    return out
+
+
+@pytest.mark.parametrize("complete", [False, True])
+def test_best_configuration_against_all_sets(spark, complete):
+    rnd = random.Random(8)
+    matrices, rows, plain = {}, [], {}
+    for k in range(6):
+        s = f"s|{k}"
+        matrices[s] = [[10 * t + i if rnd.random() < 0.9 else -1 for i in range(N)] for t in range(4)]
+        links = [(a, a + 1, r[a], r[a + 1]) for r in matrices[s] for a in range(N - 1) if r[a] >= 0 and r[a + 1] >= 0]
+        plain[s] = [(*e, round(rnd.uniform(0.2, 1.6), 3)) for e in rnd.sample(links, 6)] + [(0, 1, 777, 778, 1.55)]
+        rows += [(s, *e[:4], 0, e[4], i) for i, e in enumerate(plain[s])]
+    options = {"top_k": 5, "max_edits": 3, "most": 12, "edit_penalty": 0.25, "fragment_penalty": 0.5, "completion_penalty": 0.3, "meaningful": 3, "complete": complete}
+    candidates = spark.createDataFrame(rows, "subject string, session_a int, session_b int, roi_a long, roi_b long, occurrence int, score double, i int")
+    done, sets = E.best_configuration(table(spark, matrices), candidates, [F.col("i")], N, threshold=1.0, **options)
+    got = {}
+    for r in sets.collect():
+        got.setdefault(r.subject, {})[tuple(r.edits)] = r
+    want = Counter()
+    for s, lines in matrices.items():
+        found = configurations(lines, plain[s], options)
+        assert {e: (a, v) for e, a, v, _ in found} == {e: (r.n_applied, round(r.objective, 9)) for e, r in got[s].items()}
+        best = min(((-v, len(e), e) for e, a, v, _ in found if a and v >= 1.0), default=None)
+        assert [e for e, r in got[s].items() if r.chosen] == ([best[2]] if best else [])
+        left = next(rows_ for e, _, _, rows_ in found if e == best[2]) if best else Counter(tuple(r) for r in lines if max(r) >= 0)
+        want.update({(s, r): c for r, c in left.items() if max(r) >= 0})
+    pieces = done.withColumn("track_id", F.xxhash64("subject", "track_id", "piece")).drop("piece")
+    assert matrix(pieces) == want
+
+
+def test_configurations_of_nothing_and_conflicts(spark):
+    tracks = table(spark, {"a": [[1, 2, 3, 4, 5]]})
+    schema = "subject string, session_a int, session_b int, roi_a long, roi_b long, occurrence int, score double, conflict array<string>"
+    rows = [("a", 1, 2, 2, 3, 0, 2.0, ["p"]), ("a", 3, 4, 4, 5, 0, 1.9, ["p"]), ("a", 0, 1, 1, 2, 0, 1.8, None)]
+    sets = {tuple(r.edits) for r in E.hypotheses(spark.createDataFrame(rows, schema), [F.col("session_a")]).collect()}
+    assert sets == {(1,), (2,), (3,), (1, 3), (2, 3)}
+    done, found = E.best_configuration(tracks, spark.createDataFrame([], schema), [F.col("session_a")], N)
+    assert done.count() == 5 and found.count() == 0
+    assert E.best_configuration(tracks.limit(0), spark.createDataFrame(rows, schema), [F.col("session_a")], N)[1].where("chosen").count() == 0
