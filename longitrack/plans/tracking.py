@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from longitrack.operators import audits, bundles, dynamic
-from longitrack.plans import joint, policy, subjects
+from longitrack.plans import joint, policy, subjects, tuning
 from longitrack.plans.catalog import _table, query
 
 _N, _GAP, _NEAR, _REACH = 7, 2, 12.0, 2.0
@@ -231,3 +231,14 @@ def subject_refinement(spark, d):
     identity = subjects.session_pairs(supports, 1).select(*_EDGE, *(F.lit(v).alias(c) for c, v in zip(("xx", "xy", "x0", "yx", "yy", "y0"), (1.0, 0.0, 0.0, 0.0, 1.0, 0.0), strict=True)))
     _, states = joint.refine(supports, frames, quantile=0.25, least=3, reach=_REACH, start=identity)
     return states.select(*_EDGE, "round", "n_pairs", "n_anchors", F.round("mean_anchor_cost", 5).alias("mean_anchor_cost"))
+
+
+@query()
+def learn_solver_priors(spark, d):
+    """Start, gap and threshold of the path cover for every nation as its others choose them; a supplier over the years is a track."""
+    supports = _supports(spark, d)
+    seen = supports.select("subject", "session_index", "roi").distinct()
+    costs = subjects.registered_costs(supports, 2, transform="none", reach=_REACH, top_k=3)
+    table = tuning.settings(spark, (1.0, 1.5), (), (0.0, 0.6), (2.0, None))
+    out = tuning.leave_one_out(seen, costs, seen.withColumn("track_id", F.col("roi")), table, _N, "link_f1")
+    return out.select("subject", "setting", *(F.round(c, 6).alias(c) for c in ("training", "link_f1", "complete_f1")))
