@@ -213,9 +213,13 @@ def gap_priority(area_ratio: Column, probability: Column, iou: Column, row_margi
 
 
 def residual_score(mahalanobis: Column, residual: Column, iou: Column, shifted_iou: Column, distortion: Column, row_rank: Column, column_rank: Column, terminal: Column, last: Column, complete: Column, bonus: Column | None = None) -> Column:
-    """The score of an edit without labels: growth and overlaps speak for it, lower ranks and distortion against it."""
-    zero = lambda x: F.coalesce(x.cast("double"), F.lit(0.0))
-    rank = lambda x: F.greatest(F.coalesce(x, F.lit(9)), F.lit(1)) - 1
+    """The score of an edit without labels: growth and overlaps speak for it, lower ranks and distortion against it.
+
+    Values that are missing, NaN or infinite count as 0, ranks as 9. The weights are fixed values.
+    """
+    finite = lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))
+    zero = lambda x: F.when(finite(x), x.cast("double")).otherwise(0.0)
+    rank = lambda x: F.greatest(F.when(finite(x), x).otherwise(F.lit(9)), F.lit(1)) - 1
     yes = lambda x: F.when(F.coalesce(x, F.lit(0)) > 0, 1.0).otherwise(0.0)
     total = F.least(F.lit(3.0), zero(mahalanobis) / 10.0) + F.least(F.lit(1.5), zero(residual) / 3.0) + 0.50 * zero(shifted_iou) + 0.25 * zero(iou)
     total = total + 0.20 * yes(complete) + 0.15 * yes(terminal) + 0.15 * yes(last) - 0.10 * rank(row_rank) - 0.10 * rank(column_rank) - F.greatest(zero(distortion), F.lit(0.0))

@@ -197,7 +197,7 @@ def feature_components(a: DataFrame, b: DataFrame, wanted: DataFrame, edge: list
     a and b: (edge, roi, name, value). Missing values, and ratios of values not above 0, give 0 and set missing_stat_indicator.
     """
     ok = F.col("value").isNotNull() & ~F.isnan(F.col("value"))
-    names = sorted(r.name for r in a.select("name").distinct().collect())  # a plane's features are a short, fixed list
+    names = sorted(r.name for r in a.select("name").unionByName(b.select("name")).distinct().collect())  # a plane's features are a short, fixed list
     scale = a.unionByName(b).where(ok).groupBy(*edge, "name").agg(F.stddev_pop("value").alias("_sd"))
     wide = lambda df, s: df.groupBy(*edge, F.col("roi").alias(f"roi_{s}")).pivot("name", names).agg(F.first("value")).select(*edge, f"roi_{s}", *(F.col(f"`{n}`").alias(f"_{s}_{n}") for n in names))
     scales = scale.groupBy(*edge).pivot("name", names).agg(F.first("_sd")).select(*edge, *(F.col(f"`{n}`").alias(f"_s_{n}") for n in names))

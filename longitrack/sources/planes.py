@@ -113,7 +113,8 @@ def _planes(spark: SparkSession, root: str, parse, shape: str, wanted: tuple[str
     """parse(kind, files) of every plane, as rows of `shape` behind (subject, session, session_index)."""
     ship(spark)
     known = sessions(spark, root, plane, **options)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.npy").load(root)
+    # by name, so that traces are read only where they are wanted
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "{" + ",".join(wanted) + "}").load(root)
     part = lambda i: F.regexp_extract("path", PLANE, i)
     of_plane = files.where((part(4) == plane) & part(5).isin(*wanted)).select(part(1).alias("subject"), part(2).alias("session"), part(3).alias("kind"), part(5).alias("file"), "content")
 
@@ -207,7 +208,8 @@ def read_reference(spark: SparkSession, root: str, plane: str = "plane0", prefer
     """
     ship(spark)
     names = (f"{plane}_suite2p_indices.npy", f"{plane}_match_mat.npy")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.npy").load(root)
+    # by name: the other arrays of a folder are not read
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "{track_ops.npy," + ",".join(names) + "}").load(root)
     part = lambda i: F.regexp_extract("path", r"/([^/]+)/track2p/([^/]+\.npy)$", i)
     held = files.where(part(2).isin("track_ops.npy", *names)).select(part(1).alias("subject"), part(2).alias("file"), "content")
     number = "".join(c for c in plane if c.isdigit()) or "0"

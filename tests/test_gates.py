@@ -44,3 +44,25 @@ def test_one_edit_a_subject_and_vetoes(spark):
     mine = spark.createDataFrame([(0, 1, 0.1), (0, 2, 0.1), (0, 3, 0.9)], "a int, b int, iou double")
     theirs = spark.createDataFrame([(0, 1), (0, 1)], "a int, b int")
     assert [r.b for r in cleanup.teacher_vetoes(mine, theirs, ["a", "b"], F.col("iou") < 0.5).collect()] == [2]
+
+
+def test_residual_score_takes_what_is_not_finite_as_missing(spark):
+    from pyspark.sql import functions as F
+
+    from longitrack.operators import audits
+
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, 20.0, 3.0, 0.5, 0.4, 0.1, 2.0, 1.0, 1, 0, 1), (1, nan, inf, nan, -inf, nan, nan, inf, 1, 0, 1), (2, *[None] * 10)]
+    df = spark.createDataFrame(rows, "i int, m double, r double, a double, b double, d double, rr double, cr double, t int, l int, c int")
+    got = {r.i: r.score for r in df.select("i", audits.residual_score(*(F.col(c) for c in ("m", "r", "a", "b", "d", "rr", "cr", "t", "l", "c"))).alias("score")).collect()}
+    assert abs(got[0] - (2.0 + 1.0 + 0.5 * 0.4 + 0.25 * 0.5 + 0.2 + 0.15 - 0.1 - 0.1)) < 1e-9
+    assert abs(got[1] - (0.35 - 1.6)) < 1e-9 and abs(got[2] + 1.6) < 1e-9
+
+
+def test_features_that_only_one_side_has(spark):
+    from longitrack.operators import bundles
+
+    side = lambda rows: spark.createDataFrame(rows, "g long, roi long, name string, value double")
+    out = bundles.feature_components(side([(1, 1, "x", 2.0)]), side([(1, 5, "x", 3.0), (1, 5, "y", 1.0)]), spark.createDataFrame([(1, 1, 5)], "g long, roi_a long, roi_b long"), ["g"])
+    row = out.collect()[0]
+    assert row.abs_y_diff == 0.0 and row.missing_stat_indicator == 1.0 and row.abs_x_diff > 0
