@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from longitrack.llm.common import short_batches, spread_join, written
+from longitrack.llm.common import remove, short_batches, spread_join, written
 from longitrack.llm.components import connected_components
 from longitrack.session import ship
 
@@ -331,7 +331,10 @@ def links(classes: DataFrame, texts: DataFrame, percent: int = SIMILARITY, block
         maybe = written(maybe.mapInArrow(_promising(percent), "key long, size long, class long").distinct(), "promising")
         near_by = _dealt(rest.join(maybe, ["key", "size", "class"]), block)
         second = in_blocks(near_by.join(sets, "class").select(*_DEALT, "members")).mapInArrow(_verified(percent), "a long, b long")
-        return written(first.unionByName(second), "links")
+        found = written(first.unionByName(second), "links")
+    for table in (held, sets, first, parts, rest, maybe):
+        remove(table)
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = SIMILARITY, **options) -> DataFrame:
@@ -349,9 +352,12 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     named = rows.where("n > 0")
     classes = named.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "same")).alias("k"), F.first("n").alias("n"), F.first("registers").alias("registers"))
     classes = written(classes.select("class", "n", "registers", "k.id", "k.same"), "classes")
-    parts = connected_components(links(classes, texts, percent, **options))
+    joined = links(classes, texts, percent, **options)
+    remove(classes)
+    parts = connected_components(joined)
     placed = spread_join(named.select("id", "n", "class"), parts.withColumnRenamed("node", "class"), "class", "left").select("id", "n", F.coalesce("component", "class").alias("component"))
     placed = written(placed, "components")
+    remove(joined)
     ids = written(placed.groupBy("component").agg(F.min("id").alias("component_id")), "component-ids")
     found = spread_join(placed, ids, "component").select("id", "n", "component_id")
     alone = rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from longitrack.llm.common import written
+from longitrack.llm.common import remove, written
 from longitrack.session import ship
 
 #: Components of a bucket's or an anchor block's matrix at most (but for a single longer vector), and how many buckets one task takes.
@@ -155,8 +155,8 @@ def _searched(k: int, slots: int, same: bool):
     return f
 
 
-def _pass(buckets: DataFrame, blocks: DataFrame, n_blocks: int, k: int, slots: int, same: bool) -> DataFrame:
-    """(anchor, slot, id, score): the k best of each window, from the pairs of block and bucket that the norms leave."""
+def _pass(buckets: DataFrame, blocks: DataFrame, n_blocks: int, k: int, slots: int, same: bool, name: str) -> DataFrame:
+    """(anchor, slot, id, score, rank), written: the k best of each window, from the pairs of block and bucket that the norms leave."""
     spread = F.explode(F.sequence(F.lit(0), F.lit(max(0, n_blocks - 1)))).alias("salt")
     there = buckets.select("dim", "chunk", "number", F.col("low").alias("least"), spread)
     here = blocks.select("dim", F.col("number").alias("block"), F.col("low").alias("need"), F.pmod(F.xxhash64("number"), F.lit(max(1, n_blocks))).cast("int").alias("salt"))
@@ -166,7 +166,9 @@ def _pass(buckets: DataFrame, blocks: DataFrame, n_blocks: int, k: int, slots: i
     right = blocks.select(F.col("number").alias("block"), "dim", "peak", "ids", "labels", "vectors", "windows").join(pairs.select("block", F.col("chunk").alias("of")).distinct(), "block").withColumnRenamed("block", "own")
     found = left.groupBy("block", "chunk").cogroup(right.groupBy("own", "of")).applyInPandas(_searched(k, slots, same), "anchor long, slot long, id long, score long")
     order = Window.partitionBy("anchor", "slot").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = written(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), name)
+    remove(pairs)
+    return best
 
 
 def search(anchors: DataFrame, buckets: DataFrame, k: int, slots: int, same: bool, components: int = COMPONENTS) -> DataFrame:
@@ -189,11 +191,16 @@ def search(anchors: DataFrame, buckets: DataFrame, k: int, slots: int, same: boo
 
     none = lambda i: F.lit(_NONE)
     heads = buckets.groupBy("dim").agg(F.min(F.struct("low", "number")).alias("h")).select("h.number")
-    seeds = written(_pass(buckets.join(heads, "number", "left_semi"), *blocks(anchors, none), k, slots, same), "seeds")
+    first, n = blocks(anchors, none)
+    seeds = _pass(buckets.join(heads, "number", "left_semi"), first, n, k, slots, same, "seeds")
     kth = seeds.where(F.col("rank") == k).groupBy("anchor").agg(F.map_from_entries(F.collect_list(F.struct(F.col("slot").cast("int").alias("slot"), "score"))).alias("kth"))
     known = anchors.join(kth.withColumnRenamed("anchor", "key"), "key", "left")
     start = lambda i: F.coalesce(F.try_element_at("kth", i), F.lit(_NONE))
-    return written(_pass(buckets, *blocks(known, start), k, slots, same), "found")
+    second, n = blocks(known, start)
+    found = _pass(buckets, second, n, k, slots, same, "found")
+    for table in (first, seeds, second):
+        remove(table)
+    return found
 
 
 def hard_negatives(rows: DataFrame, anchors: Column, positives: int = 5, negatives: int = 3, low: int = 50, high: int = 95, components: int = COMPONENTS) -> DataFrame:
@@ -217,5 +224,6 @@ def hard_negatives(rows: DataFrame, anchors: Column, positives: int = 5, negativ
     unused = window(1, 0)
     asked = mine.join(of, "key").withColumn("windows", F.transform(F.sequence(F.lit(0), F.lit(positives - 1)), lambda i: F.coalesce(F.try_element_at("ws", i), unused))).drop("ws")
     got = search(asked, buckets, negatives, positives, False, components).withColumnRenamed("id", "negative_id").withColumnRenamed("score", "negative_score")
+    remove(buckets)
     named = found.drop("w").join(mine.select("key", F.col("id").alias("anchor_id")), "key").withColumnRenamed("key", "anchor")
     return got.join(named, ["anchor", "slot"]).select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), "negative_id", "positive_score", "negative_score")
