@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from longitrack.operators import audits, bundles, dynamic
+from longitrack.operators import audits, bundles, dynamic, paths
 from longitrack.plans import joint, policy, subjects, tuning
 from longitrack.plans.catalog import _table, query
 
@@ -100,6 +100,19 @@ def policy_dp_tracks(spark, d):
     return _shown(dynamic.policy_tracks(_candidates(spark, d), _N))
 
 
+@query(
+    _CANDIDATES
+    + """, al AS (SELECT subject, sa, sb, ra, rb FROM ac WHERE accepted),
+lf AS (SELECT subject, sa, ra, list(rb) AS mid FROM al WHERE sb = sa + 1 GROUP BY ALL), rg AS (SELECT subject, sb, rb, list(ra) AS mid FROM al WHERE sb = sa + 1 GROUP BY ALL)
+SELECT al.subject, al.sa::INT AS session_a, al.sb::INT AS session_b, al.ra AS roi_a, al.rb AS roi_b FROM al LEFT JOIN lf ON lf.subject = al.subject AND lf.sa = al.sa AND lf.ra = al.ra LEFT JOIN rg ON rg.subject = al.subject AND rg.sb = al.sb AND rg.rb = al.rb
+WHERE al.sb = al.sa + 1 OR ((lf.mid IS NOT NULL OR rg.mid IS NOT NULL) AND coalesce(list_has_any(lf.mid, rg.mid), true))"""
+)
+def policy_bridge_support(spark, d):
+    """Accepted matches of years up to two apart, without skips that their neighbours don't support or contradict."""
+    found = _candidates(spark, d).where("accepted").select(*_EDGE, "roi_a", "roi_b")
+    return paths.bridge_supported(found).select("subject", *(F.col(c).cast("int").alias(c) for c in ("session_a", "session_b")), "roi_a", "roi_b")
+
+
 # The tracklet graph: overlaps scaled to the size of the bounds.
 _LOCAL = {"score": 1.0, "registered_iou": 0.35, "shifted_iou": 0.35, "distance": 2.0, "growth_residual": 3.5, "margin": 0.05}
 _SCORED = (

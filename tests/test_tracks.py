@@ -108,3 +108,11 @@ def test_gate_reasons(spark, row, reason):
 
     df = spark.createDataFrame([row], "g int, a double, p double, i double, m double")
     assert df.select(cleanup.strict_gap_gate(*map(F.col, "gapim")).alias("r")).first().r == reason
+
+
+def test_micro_f1_of_published_counts(spark):
+    """Counts of links and complete tracks and the F1 that is published for them."""
+    rows = [("link", 581, 18, 24, 0.965116), ("complete", 55, 4, 5, 0.924370), ("link", 586, 28, 19, 0.961444), ("complete", 56, 4, 4, 0.933333)]
+    for kind, tp, fp, fn, f1 in rows:
+        df = spark.createDataFrame([(tp - 3, fp, 1), (3, 0, fn - 1)], "tp long, fp long, fn long")
+        assert round(tracks.scored(df).first().f1, 6) == f1, kind
