@@ -119,6 +119,54 @@ def ceilings(reference: DataFrame, n_sessions: int, seed_sessions: list[int], ma
     return out
 
 
+def _followed(reference: DataFrame, n_sessions: int, start: int) -> DataFrame:
+    """(track_id, session_index, roi): for each roi of the start session the links between consecutive sessions that lead on from it, both ways.
+
+    Of several links from a roi that to the least is followed. A seed's row grows by one join a session; there is one row a seed throughout.
+    """
+    links = tracks.links(reference)
+    now = reference.where(F.col("session_index") == start).select("roi").distinct().withColumns({"track_id": F.col("roi").cast("string"), "row": F.array(F.struct(F.lit(start).alias("session_index"), "roi"))})
+    for step, mine, other, sessions in ((1, "roi_a", "roi_b", range(start, n_sessions - 1)), (-1, "roi_b", "roi_a", range(start - 1, -1, -1))):
+        led = links.groupBy("session_a", mine).agg(F.min(other).alias("next"))
+        now = now.withColumn("at", F.element_at(F.filter("row", lambda x: x["session_index"] == start), 1)["roi"])
+        for s in sessions:
+            edge = led.where(F.col("session_a") == s).select(F.col(mine).alias("at"), "next")
+            cell = F.array(F.struct(F.lit(s + 1 if step == 1 else s).alias("session_index"), F.col("next").alias("roi")))
+            now = now.join(edge, "at", "left").select("track_id", F.when(F.col("next").isNull(), F.col("row")).otherwise(F.concat("row", cell)).alias("row"), F.col("next").alias("at"))
+    return now.select("track_id", F.explode("row").alias("x")).select("track_id", "x.session_index", "x.roi")
+
+
+def oracle_variants(reference: DataFrame, n_sessions: int, seed_sessions: list[int], max_gaps: list[int]) -> DataFrame:
+    """(variant, seed_session, max_gap, kind, tp, fp, fn, f1): what perfect links of several kinds recover of a reference, all in one plan.
+
+    Variants are the reference itself (`reference_rows`), what stitching consecutive links from the seeds gives (`consecutive_stitch`, of several links from a roi the one to the least
+    roi), and within_gap for each gap (`gap_limited`). reference: (track_id, session_index, roi). Scores compare multisets with the whole reference.
+    """
+    ref = reference.select(F.col("track_id").cast("string").alias("track_id"), F.col("session_index").cast("int").alias("session_index"), F.col("roi").cast("long").alias("roi"))
+    out = None
+
+    def add(found: DataFrame, variant: str, seed: int, gap: int | None) -> None:
+        nonlocal out
+        row = found.select(F.concat_ws("|", F.lit(variant), F.lit(seed), F.lit("" if gap is None else gap)).alias("v"), F.concat_ws("|", F.lit(variant), F.lit(seed), F.lit("" if gap is None else gap), "track_id").alias("track_id"), "session_index", "roi")
+        out = row if out is None else out.unionByName(row)
+
+    settings = []
+    for seed in seed_sessions:
+        for variant, gap, found in (("reference_rows", None, ref), ("consecutive_stitch", 1, _followed(ref, n_sessions, seed)), *(("gap_limited", g, within_gap(ref, seed, g)) for g in max_gaps)):
+            add(found, variant, seed, gap)
+            settings.append((f"{variant}|{seed}|{'' if gap is None else gap}", variant, seed, gap))
+    table = F.broadcast(reference.sparkSession.createDataFrame(settings, "v string, variant string, seed_session int, max_gap int"))  # the settings themselves
+    scores = None
+    for kind, keys, rows in (("link", tracks.LINK, tracks.links), ("complete", ["identity"], lambda df: tracks.complete(df, n_sessions))):
+        found = rows(out).join(out.select("track_id", "v").distinct(), "track_id")
+        truth = rows(ref).select(*keys).join(table.select("v"), F.lit(True))
+        one = tracks.scored(tracks.ledger(found, truth, ["v", *keys]), ["v"]).withColumn("kind", F.lit(kind))
+        scores = one if scores is None else scores.unionByName(one)
+    whole = table.join(F.broadcast(reference.sparkSession.createDataFrame([("link",), ("complete",)], "kind string")), F.lit(True))
+    done = whole.join(scores, ["v", "kind"], "left").na.fill(0, ["tp", "fp", "fn"]).na.fill(1.0, ["f1"])
+    return done.select("variant", "seed_session", "max_gap", "kind", "tp", "fp", "fn", "f1")
+
+
 def stratified(rows: DataFrame, fields: list[str], metrics: list[str]) -> DataFrame:
     """Mean, median, least and greatest of each metric by any fields; missing and NaN values are left out."""
     long = rows.select(*fields, *(F.col(m).cast("double").alias(m) for m in metrics)).unpivot(fields, metrics, "metric", "value").withColumn("value", F.when(~F.isnan("value"), F.col("value")))

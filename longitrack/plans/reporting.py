@@ -95,6 +95,25 @@ def report_ceilings(spark, d):
     return _round(reports.ceilings(_tracks(spark, d, "reference"), 3, [2], [1, 2]), "f1")
 
 
+def _variant_sql(variant: str, gap: str, v: str) -> str:
+    link = lambda v: f"(SELECT count(*) FROM {v} x JOIN {v} y ON y.track_id = x.track_id AND y.session_index = x.session_index + 1)"
+    whole = lambda v: f"(SELECT count(*) FROM (SELECT 1 FROM {v} GROUP BY track_id HAVING count(*) = 30))"
+    return " UNION ALL ".join(f"SELECT '{variant}' AS variant, 2 AS seed_session, {gap}::INT AS max_gap, '{kind}' AS kind, {c(v)} AS tp, 0::BIGINT AS fp, {c('r')} - {c(v)} AS fn" for kind, c in (("link", link), ("complete", whole)))
+
+
+@query(
+    _TRACKS
+    + _CEILING
+    + ", o AS ("
+    + " UNION ALL ".join(_variant_sql(*x) for x in (("reference_rows", "NULL", "r"), ("consecutive_stitch", "1", "b1"), ("gap_limited", "1", "b1"), ("gap_limited", "2", "b2")))
+    + ") SELECT *, round(CASE WHEN 2 * tp + fn = 0 THEN 1 ELSE 2 * tp / (2 * tp + fn) END, 6) AS f1 FROM o"
+)
+def report_oracle_variants(spark, d):
+    """What perfect links recover of the users' last hours over thirty days, each an id of its own, by the way they are put together."""
+    t = _tracks(spark, d, "reference").withColumn("roi", 100 * F.col("track_id") + F.col("roi"))
+    return _round(reports.oracle_variants(t, 30, [2], [1, 2]), "f1")
+
+
 @query(
     _RESULTS
     + """, l AS (SELECT approach, 'score' AS metric, score AS value FROM res UNION ALL SELECT approach, 'tp', tp FROM res)

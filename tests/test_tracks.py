@@ -116,3 +116,43 @@ def test_micro_f1_of_published_counts(spark):
     for kind, tp, fp, fn, f1 in rows:
         df = spark.createDataFrame([(tp - 3, fp, 1), (3, 0, fn - 1)], "tp long, fp long, fn long")
         assert round(tracks.scored(df).first().f1, 6) == f1, kind
+
+
+def test_oracle_variants_against_plain_python(spark):
+    import random
+    from collections import Counter
+
+    from longitrack.operators import reports
+
+    rnd, n = random.Random(3), 5
+    rows = {k: {t: 10 * k + t for t in range(n) if rnd.random() < 0.75} for k in range(14)}
+    df = spark.createDataFrame([(f"t{k}", t, x) for k, v in rows.items() for t, x in v.items()], "track_id string, session_index int, roi long")
+
+    def limited(v, seed, gap):
+        if seed not in v:
+            return {}
+        kept, last = {seed}, seed
+        for t in sorted(x for x in v if x > seed):
+            if t - last > gap:
+                break
+            kept.add(t)
+            last = t
+        last = seed
+        for t in sorted((x for x in v if x < seed), reverse=True):
+            if last - t > gap:
+                break
+            kept.add(t)
+            last = t
+        return {t: v[t] for t in kept}
+
+    def bags(table):
+        return Counter((t, v[t], v[t + 1]) for v in table for t in v if t + 1 in v), Counter(tuple(v[t] for t in range(n)) for v in table if len(v) == n)
+
+    truth, want = bags(rows.values()), {}
+    for seed in (0, 2):
+        for name, gap, found in (("reference_rows", None, list(rows.values())), ("consecutive_stitch", 1, [limited(v, seed, 1) for v in rows.values()]), *(("gap_limited", g, [limited(v, seed, g) for v in rows.values()]) for g in (1, 2))):
+            for kind, a, b in zip(("link", "complete"), bags(found), truth, strict=True):
+                want[name, seed, gap, kind] = tuple(sum(x.values()) for x in (a & b, a - b, b - a))
+    got = {(r.variant, r.seed_session, r.max_gap, r.kind): (r.tp, r.fp, r.fn) for r in reports.oracle_variants(df, n, [0, 2], [1, 2]).collect()}
+    assert got == want
+    assert {r.f1 for r in reports.oracle_variants(df.limit(0), n, [0], [1]).collect()} == {1.0}
