@@ -68,6 +68,20 @@ def _best_margin(cost: str, edge: list[str], line: str) -> Column:
     return F.when(F.col(cost) - first <= 1e-12, second - first)
 
 
+def best_margins(least: DataFrame, edge: list[str]) -> DataFrame:
+    """(edge, roi_a, roi_b, margin, n) of the best cells, ties included, of lines given by their two least costs and ties (distances.nearest).
+
+    n is the total of the row on its first cell, else 0.
+    """
+    line = F.when(F.col("side") == "column", F.col("roi_b")).otherwise(F.col("roi_a"))
+    by = Window.partitionBy("side", *edge, line).orderBy("cost", "roi_a", "roi_b")
+    whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first, second = F.nth_value("cost", 1).over(whole), F.nth_value("cost", 2).over(whole)
+    n = F.when((F.col("side") == "row") & (F.row_number().over(by) == 1), F.col("total")).otherwise(0.0)
+    found = least.withColumns({"margin": F.when(F.col("cost") - first <= 1e-12, second - first), "n": n, "_best": F.col("cost") - first <= 1e-12})
+    return found.where("_best").select(*edge, "roi_a", "roi_b", "margin", "n")
+
+
 def margin_shortfall(pairs: DataFrame, edge: list[str], weight: float, target: float, cap: float | None = None) -> DataFrame:
     """Admissible pairs that are best in row or column pay for a margin below the target."""
     ok = pairs.where(admissible(F.col("cost"))).withColumns({"_r": _best_margin("cost", edge, "roi_a"), "_c": _best_margin("cost", edge, "roi_b")})
