@@ -1,10 +1,12 @@
 """Pairs, assignment, evaluation, registration and sources on literal tables."""
 
 import itertools
+import math
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from longitrack.functions import c_log
 from longitrack.operators import assignment, evaluation, learning, pairs, registration
 from longitrack.sources import tables
 
@@ -132,3 +134,13 @@ def test_sources(spark, tmp_path):
     got = tables.read_masks(spark, f"{tmp_path}/*.npy").collect()
     assert sorted((r.x, r.y) for r in got) == [(i, i) for i in range(4)]
     assert tables.markdown(spark.createDataFrame([(1, None)], "a int, b string")) == "| a | b |\n| --- | --- |\n| 1 |  |"
+
+
+def test_c_log_ties_as_sql_does(spark):
+    """Two documents whose costs SQL finds equal: Spark's own logarithm put the later one first."""
+    x = [0.10810810810810811, 14 / 27, 1.0]
+    df = spark.createDataFrame([(v,) for v in [*x, None, 0.0]], "v double")
+    assert [r[0] for r in df.select(c_log("v")).collect()] == [*map(math.log, x), None, None]
+    both = spark.createDataFrame([(0.10810810810810811, 0.3779644730092272), (0.10810810810810811, 0.37796447300922725)], "iou double, cosine double")
+    cost = pairs.total_cost(None, 1.0, F.col("iou"), F.col("cosine"), F.abs(c_log(F.lit(14 / 27))), log=c_log)
+    assert both.select(cost).distinct().count() == 1
