@@ -146,3 +146,33 @@ def test_empty_tables(spark):
     pts = spark.createDataFrame([], "g int, roi int, x double, y double")
     assert evidence.density(pts, ["g"], 1.0).count() == 0 == evidence.signatures(pts, ["g"], 2).count()
     assert list(itertools.chain(paths.fitted(spark.createDataFrame([], "track_id int, session_index int, x double, y double")).collect())) == []
+
+
+def test_blocks_of_small_images_are_like_joins(spark, monkeypatch):
+    """Both ways of comparing give the same, over several blocks and with pixels outside the image."""
+    import random
+
+    from longitrack.operators import dense
+
+    r = random.Random(1)
+    cells = {(g, i, r.randrange(-1, 6), r.randrange(-1, 5)) for g in (1, 2) for i in range(12) for _ in range(6)}
+    rows = [(g, 100 * g + i, x, y, float(r.randrange(1, 4))) for g, i, x, y in sorted(cells)]
+    a = spark.createDataFrame(rows, "g int, roi_a long, x long, y long, w double")
+    b = spark.createDataFrame([(g, i + 50, x, y, 2 * w) for g, i, x, y, w in rows], "g int, roi_b long, x long, y long, w double")
+    names = ["g", "roi_a", "roi_b", "shifted_iou", "shift_dy", "shift_dx", "shifted_cosine"]
+    of = lambda: sorted((*x[:6], round(x[6], 9)) for x in evidence.shifted_overlaps(a, b, "roi_a", "roi_b", ["g"], 1, (4, 5)).select(names).collect())
+    monkeypatch.setattr(dense, "BLOCK", 5)
+    blocks = of()
+    monkeypatch.setattr(dense, "PIXELS", 3)
+    met = a.join(b.withColumnRenamed("w", "w_b"), ["g", "x", "y"]).groupBy("g", "roi_a", "roi_b")
+    want = met.agg(F.count(F.lit(1)).alias("inter"), F.sum(F.least("w", "w_b")).alias("min_sum"), F.sum(F.col("w") * F.col("w_b")).alias("dot"))
+    got = dense.touching(a, b, ["g"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert blocks == of() and blocks
+    assert "FlatMapCoGroups" in str(bundled(spark)._jdf.queryExecution().analyzed())
+
+
+def bundled(spark):
+    from longitrack.operators import bundles
+
+    return bundles._touching(spark.createDataFrame([("s", 0, 1, 0, 0, 1.0)], "subject string, session_index int, roi long, x int, y int, w double"), 1, True)
