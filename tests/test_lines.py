@@ -5,8 +5,10 @@ import random
 import numpy as np
 import pytest
 
-from longitrack.operators import bundles, lines
-from longitrack.plans import policy
+from pyspark.sql import functions as F
+
+from longitrack.operators import bundles, dense, evidence, lines, pairs
+from longitrack.plans import policy, subjects
 
 
 @pytest.fixture(scope="module")
@@ -56,3 +58,26 @@ def test_first_cells_of_rows():
     assert [list(map(int, v)) for v in lines.first(c, 2)] == [[0, 1, 0], [1, 2, 2]]
     assert [list(map(int, v)) for v in lines.first(c, 1, greatest=True)] == [[0, 1], [2, 2]]
     assert [list(map(int, v)) for v in lines.up_to(c, 1)] == [[0, 0, 1], [1, 2, 2]]
+
+
+def test_cheapest_costs_are_the_same_without_the_others(spark, pixels, monkeypatch):
+    monkeypatch.setattr(lines, "BLOCK", 5)
+    made = []
+    whole = bundles.bundle
+    monkeypatch.setattr(bundles, "bundle", lambda *a, **k: made.append(a) or whole(*a, **k))
+    got = subjects.registered_costs(pixels, 2, transform="none", reach=0.8, top_k=2)
+    assert made[0][5] is not None  # only wanted pairs are made
+    everything = subjects.registered_costs(pixels, 2, transform="none", reach=0.8, top_k=None)
+    want = pairs.candidates(pairs.ranks(everything, subjects.EDGE, "roi_a", "roi_b"), 2).select(*everything.columns)
+    show = lambda df: sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in df.select(*want.columns).collect())
+    assert show(got) == show(want)
+
+
+def test_outlines_in_blocks(spark, pixels, monkeypatch):
+    monkeypatch.setattr(dense, "BLOCK", 5)
+    side = lambda s, r: pixels.where(f"session_index = {s}").select("subject", F.concat_ws(":", "subject", "roi").alias(r), "x", "y", "w")
+    a, b = side(0, "roi_a"), side(1, "roi_b")
+    wanted = a.select("subject", "roi_a").distinct().join(b.select("subject", "roi_b").distinct(), "subject").select("roi_a", "roi_b")
+    want = {(r.roi_a, r.roi_b): r.outline_cost for r in evidence.outline_cost(a, b, wanted, "roi_a", "roi_b", 2.0, (4, 4)).collect()}
+    got = {(r.roi_a, r.roi_b): r.outline_cost for r in dense.outline_costs(a, b, "roi_a", "roi_b", ["subject"], 2.0, (4, 4)).collect()}
+    assert got == pytest.approx(want) and len(got) == len(want) > 100
