@@ -66,9 +66,14 @@ def _matches(text: Column, kind: str) -> Column:
     return F.when(need, F.transform(F.filter(both, lambda x: x["s"].isNotNull()), one))
 
 
+def _found() -> Column:
+    """All matches in a text t, valid or not."""
+    return F.flatten(F.filter(F.array(*(_matches(F.col("t"), k) for k in KINDS)), lambda a: a.isNotNull()))
+
+
 def _base(texts: DataFrame) -> DataFrame:
     """(doc, same, kind, start, end, s) of the spans in (doc, same, t)."""
-    found = F.flatten(F.filter(F.array(*(_matches(F.col("t"), k) for k in KINDS)), lambda a: a.isNotNull()))
+    found = _found()
     # rows that repeat id and text give the same matches once
     rows = texts.select("doc", "same", F.explode(found).alias("m")).select("doc", "same", "m.*").distinct()
     upto = Window.partitionBy("doc", "same", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -77,7 +82,8 @@ def _base(texts: DataFrame) -> DataFrame:
 
 
 def _own(texts: DataFrame, rows: DataFrame) -> DataFrame:
-    """The texts (doc, same, t) of some rows (doc, same), once each."""
+    """The texts (doc, same, t) of some rows (doc, same) with spans, once each; texts without any match aren't shuffled."""
+    texts = texts.where(F.size(_found()) > 0)
     rows = rows.select(F.col("doc").alias("_doc"), F.col("same").alias("_same")).distinct()
     return texts.join(rows, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("same") == F.col("_same")), "left_semi").dropDuplicates(["doc", "same"])
 
@@ -100,7 +106,9 @@ def disclosing(texts: DataFrame, base: DataFrame, min_together: int = MIN_TOGETH
     holds = written(base.select("doc", "same", entity.alias("entity")).distinct(), "entities")
     distinct = F.array_distinct(F.transform(F.split("t", _GAP), F.lower))
     terms = written(_own(texts, holds).select("doc", "same", F.explode(distinct).alias("term")).where("term <> ''"), "terms")
-    often = texts.select(F.explode(distinct).alias("term")).join(small(terms.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    # counted before the join: a task's repeats of a term are one row, where every term of every text was shuffled
+    counts = texts.select(F.explode(distinct).alias("term")).where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    often = counts.join(small(terms.select("term").distinct()), "term", "left_semi")
     often = written(often, "often")
     # rows with their repeats: how many of the corpus have the entity, and the term with it
     entities = holds.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))

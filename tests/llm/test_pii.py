@@ -79,3 +79,9 @@ def test_terms_of_the_whole_text_are_found_and_removed_everywhere(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pii.found(docs).count() == 0 and pii.sanitised(docs).count() == 0
+
+
+def test_texts_without_matches_are_not_shuffled(spark):
+    """A text is joined for its terms only if it has a match; before, all texts of the corpus were."""
+    texts = spark.createDataFrame([(1, 7, "no match here"), (2, 8, "write to a@b.org"), (3, 9, "call 1.2.3.4")], "doc long, same long, t string")
+    assert sorted(r.doc for r in pii._own(texts, texts.select("doc", "same")).collect()) == [2, 3]
