@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from longitrack.operators import bundles, dense, evidence, lines, pairs, ranking
-from longitrack.plans import policy, subjects
+from longitrack.plans import joint, policy, subjects
 
 
 @pytest.fixture(scope="module")
@@ -113,3 +113,13 @@ def test_whole_weights_are_compared_by_levels():
     w = np.array([np.array([2.0, 2.0, 4.0]), np.array([1.0])], object)
     assert lines._least_sums(a, b, v, w).tolist() == [[7.0, 1.0], [2.0, 1.0]]
     assert lines._least_sums(a, b, v / 2, w / 2).tolist() == [[3.5, 0.5], [1.0, 0.5]]
+
+
+def test_anchors_of_overlap_without_a_row_for_every_pair(spark, pixels, monkeypatch):
+    monkeypatch.setattr(lines, "BLOCK", 5)
+    everything = bundles.bundle(pixels, max_gap=1, max_distance=0.8).withColumn("cost", bundles.cost("registered_iou")).select(*lines.EDGE, "roi_a", "roi_b", "cost")
+    show = lambda df: sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in df.select(*lines.EDGE, "roi_a", "roi_b", "anchor", "cost").collect())
+    for quantile, least in ((0.25, 3), (0.0, 2)):
+        assert show(joint.relieved_overlaps(pixels, 1, 0.8, quantile, least)) == show(joint.relieved(everything, lines.EDGE, quantile, least))
+    counted = {tuple(r) for r in joint.overlap_anchors(lines.packed(pixels), 1, 0.8)[1].collect()}
+    assert counted == {tuple(r) for r in everything.groupBy(*lines.EDGE).count().collect()}
