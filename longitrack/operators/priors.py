@@ -6,6 +6,7 @@ the data model leaves a term off.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -184,6 +185,17 @@ def edge_reliability(*, gated: Column | None = None, rank: Column | None = None,
     return clip(F.exp(-clip(total, 0.0, 100.0)), w["least"], 1.0)
 
 
+def edge_reliabilities(*, rank: np.ndarray, activity: np.ndarray, empty: np.ndarray, rmse: np.ndarray, valid: np.ndarray) -> np.ndarray:
+    """edge_reliability() of arrays without missing values, for pairs that are made in tiles."""
+    w = UNRELIABLE
+    total = 0.0 + w["rank"] * np.clip(rank, 0.0, 1.0)
+    total = total + w["no_activity"] * (1.0 - np.clip(activity, 0.0, 1.0))
+    total = total + np.where(empty, w["empty"], 0.0)
+    total = total + w["rmse"] * np.maximum(rmse, 0.0)
+    total = total + w["invalid"] * (1.0 - np.clip(valid, 0.0, 1.0))
+    return np.clip(np.exp(-np.clip(total, 0.0, 100.0)), w["least"], 1.0)
+
+
 def uncertain_cost(cost: Column, reliability: Column, weight: float = 1.0) -> Column:
     return adjusted(cost, -weight * F.log(reliability))
 

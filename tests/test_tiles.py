@@ -87,3 +87,40 @@ def test_outlines_lie_anywhere(spark):
     c = lines.packed(px).orderBy("roi").toPandas()["cells"].to_numpy()
     s = math.sqrt(2) - 1
     assert dense.outlines(c, c).round(9).tolist() == [[0.0, round(0.5 * ((73 + 4 * s + 69 + 2 * s) / 2 + 69 + 2 * s), 9)], [round(0.5 * ((73 + 4 * s + 69 + 2 * s) / 2 + 69 + 2 * s), 9), 0.0]]
+
+
+JOINED = ["pair_context_distance", "pair_feature_components", "pair_feature_distance", "prior_context_costs", "prior_supported_costs", "prior_other_terms"]
+
+
+@pytest.mark.parametrize("name", ["pair_rank_cost", "prior_dynamic_costs", "pair_patch_correlations", *JOINED])
+def test_pairs_are_not_shuffled(spark, name):
+    from longitrack.plans import bundling, catalog  # noqa: F401
+
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    made = next(i for i, line in enumerate(plan) if ("Join" in line and "_s#" in line if name in JOINED else "FlatMapCoGroupsInPandas" in line))
+    above = [line.strip(" +-:!").split(" ")[0] for line in plan[:made]]
+    assert set(above) <= {"Project", "Filter"}, above
+
+
+def test_likely_pairs_over_blocks(spark, small):
+    from longitrack.operators import pairs, priors
+
+    p = _points(spark)
+    factor = F.lit(1.0) / (1 + (F.col("roi_a") + F.col("roi_b")) % 3)
+    every = _pairs(p).select("g", "roi_a", "roi_b", F.col("d").alias("cost"))
+    want = priors.posterior_candidates(pairs.posteriors(every, ["g"], "roi_a", 2.0, factor), ["g"], 0.07, 2, 1)
+    got = tiles.likely(*_sides(p), ["g"], 2.0, lambda a, b: 1.0 / (1 + (a["roi_a"].to_numpy()[:, None] + b["roi_b"].to_numpy()[None, :]) % 3), 0.07, 2, 1)
+    shown = ["roi_a", "roi_b", F.round("cost", 9), F.round("posterior", 9)]
+    rows = sorted(map(tuple, got.select(*shown).collect()))
+    assert rows == sorted(map(tuple, want.select(*shown).collect())) and len(rows) < every.count()
+
+
+def test_reliabilities_of_arrays(spark):
+    import numpy as np
+
+    from longitrack.operators import priors
+
+    v = np.array([0.0, 0.3, 1.0])
+    row = spark.createDataFrame([(x,) for x in v.tolist()], "v double")
+    want = [r[0] for r in row.select(priors.edge_reliability(rank=F.col("v"), activity=[F.col("v")], empty=F.col("v") > 0.5, rmse=F.col("v"), valid=F.col("v"))).collect()]
+    assert priors.edge_reliabilities(rank=v, activity=v, empty=v > 0.5, rmse=v, valid=v).tolist() == pytest.approx(want)
