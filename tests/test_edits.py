@@ -280,3 +280,15 @@ def test_configurations_of_nothing_and_conflicts(spark):
     done, found = E.best_configuration(tracks, spark.createDataFrame([], schema), [F.col("session_a")], N)
     assert done.count() == 5 and found.count() == 0
     assert E.best_configuration(tracks.limit(0), spark.createDataFrame(rows, schema), [F.col("session_a")], N)[1].where("chosen").count() == 0
+
+
+def test_rescue_takes_many_components_at_once(spark, monkeypatch):
+    monkeypatch.setattr(E, "GROUP", 50)
+    row = "subject string, track_id long, session_index int, roi long"
+    # 40 subjects of a seed and its follower, which a teacher joins, and a lone track
+    own = [(f"s{i}", k, s, r) for i in range(40) for k, s, r in ((1, 0, 10 * i), (2, 1, 10 * i + 1), (3, 1, 10 * i + 2))]
+    teacher = [(f"s{i}", 9, s, 10 * i + s) for i in range(40) for s in (0, 1)]
+    out, ledger = E.rescue(spark.createDataFrame(own, row), spark.createDataFrame(teacher, row), 3, order="lexicographic")
+    want = {(f"s{i}", k, s, r) for i in range(40) for k, s, r in ((1, 0, 10 * i), (1, 1, 10 * i + 1), (3, 1, 10 * i + 2))}
+    assert {tuple(r) for r in out.collect()} == want
+    assert ledger.where("applied").count() == 40
